@@ -20,48 +20,40 @@ WORD = r"[\p{L}\p{N}_]+"
 
 
 @functools.cache
-def _folding() -> tuple[str, str, dict[str, str], str]:
-    """Compatibility decomposition without combining marks: one-to-one source and target strings,
-    the one-to-many map, and the class of characters with a combining class."""
+def _folding() -> tuple[str, str, dict[str, str]]:
+    """Compatibility decomposition without combining marks: source and target of the one-to-one
+    foldings, with the marks, which have no target, at the end of the source; the one-to-many map."""
     one, many, marks = {}, {}, []
     for code in range(0x80, sys.maxunicode + 1):
         if 0xAC00 <= code <= 0xD7A3 or 0xD800 <= code <= 0xDFFF:
             continue
         c = chr(code)
         if unicodedata.combining(c):
-            marks.append(code)
+            marks.append(c)
             continue
         plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if plain == c:
-            continue
-        if len(plain) == 1 and code < 0x10000:
+        if len(plain) == 1 and plain != c:
             one[c] = plain
-        else:
+        elif plain != c:
             many[c] = plain
-    ranges, start = [], None
-    for i, code in enumerate(marks):
-        start = code if start is None else start
-        if i + 1 == len(marks) or marks[i + 1] != code + 1:
-            ranges.append(f"\\x{{{start:X}}}-\\x{{{code:X}}}")
-            start = None
-    return "".join(one), "".join(one.values()), many, "[" + "".join(ranges) + "]"
+    return "".join(one) + "".join(marks), "".join(one.values()), many
 
 
 def strip_marks(text: Column) -> Column:
     """Compatibility decomposition with combining marks removed, letter case kept.
 
-    One-to-many foldings (ligatures, fractions) run only for texts that have such a character.
-    Precomposed Hangul is left as it is.
+    One `translate` does it for most texts. One-to-many foldings (ligatures, fractions) run only for
+    texts that have a character of the ranges in which such characters lie. Precomposed Hangul is left
+    as it is. Null stays null.
     """
-    source, target, many, marks = _folding()
-    folded = F.translate(text, source, target)
-    rare = {k: v for k, v in many.items() if ord(k) < 0x10000}
-    # characters above the BMP are not folded; none of the supported scripts has them
-    table = F.create_map(*[F.lit(x) for pair in rare.items() for x in pair])
-    chars = F.transform(F.split(folded, ""), lambda c: F.coalesce(F.try_element_at(table, c), c))
-    pattern = "[" + "".join(f"\\x{{{ord(k):X}}}" for k in rare) + "]"
-    wide = F.when(folded.rlike(pattern), F.array_join(chars, "")).otherwise(folded)
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(wide, marks, "")).otherwise(text)
+    source, target, many = _folding()
+    table = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
+    chars = F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c))
+    wide = F.when(
+        text.rlike(r"[\u00A8-\u00BE\u0132-\u0149\u01C4-\u01F3\u02D8-\u02DD\u037A-\u0385\u0587-\u1FFF\u2017\u2024-\uFFFF\x{10000}-\x{10FFFF}]"),
+        F.array_join(chars, ""),
+    ).otherwise(text)
+    return F.translate(wide, source, target)
 
 
 def normalize(text: Column) -> Column:
