@@ -120,7 +120,7 @@ def _search(table: pa.Table, t: Fraction, cells: int) -> Iterator[pa.RecordBatch
                     x, y, need = x[ok], y[ok], need[ok]
                 for u, v, m in zip(x, y, need):
                     su = flat[start[u] : start[u] + size[u]]
-                    common = np.isin(su, flat[start[v] : start[v] + size[v]])
+                    common = (su[:, None] == flat[start[v] : start[v] + size[v]]).any(axis=1)
                     # the first common word names the one cell that reports the pair
                     if (c := int(common.sum())) >= m and su[np.argmax(common)] == words[w]:
                         out_a.append(min(ids[u], ids[v]))
