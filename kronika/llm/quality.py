@@ -11,10 +11,13 @@ from kronika.functions import text as T
 
 #: Largest table of common words that is taken into the plan.
 MAX_COMMON = 10_000
-#: Robust z from which on a text is no prose: few common words, few words in lower case, many symbols.
-TAILS = {"common_share": -5.0, "lower_share": -9.0, "symbol_ratio": 20.0}
+#: Robust z from which on a text is no prose: few common words, few words in lower case, many symbols,
+#: few words with letters at all.
+TAILS = {"common_share": -5.0, "lower_share": -9.0, "symbol_ratio": 20.0, "letter_word_share": -25.0}
 #: Words with a letter from which the bound for common words holds as it is.
 FULL = 60
+#: Least spread of a statistic, for languages in which a quarter of the texts agree.
+LEAST_SD = 0.01
 #: Ranks of the quantiles that a value's percentile is read from.
 PERCENTILES = [x / 100 for x in range(101)]
 #: Rows of a language below which the sketch of all languages is used.
@@ -105,7 +108,7 @@ def scored(stats: DataFrame, columns: list[str]) -> DataFrame:
     have = [r["_lang"] for r in rows]
     keyed = stats.withColumn("_lang", F.when(F.col("text_lang").isin(have), F.col("text_lang")).otherwise("*"))
     joined = keyed.join(F.broadcast(table), "_lang", "left")
-    z = {f"{c}_z": (F.col(c) - F.col(f"_{c}_mid")) / F.greatest(F.col(f"_{c}_sd"), F.lit(1e-6)) for c in columns}
+    z = {f"{c}_z": (F.col(c) - F.col(f"_{c}_mid")) / F.greatest(F.col(f"_{c}_sd"), F.lit(LEAST_SD)) for c in columns}
     below = lambda c: F.size(F.filter(f"_{c}", lambda v: v <= F.col(c))) / F.lit(float(len(PERCENTILES)))
     pct = {f"{c}_pct": below(c) for c in columns}
     return joined.withColumns(z | pct).drop("_lang", *[f"_{c}{x}" for c in columns for x in ("", "_mid", "_sd")])
