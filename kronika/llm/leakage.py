@@ -74,23 +74,23 @@ class Items:
     def hits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, position, shingle) of every item shingle in the texts."""
         get = self.vocabulary.get
-        rows, places, found = [], [], []
+        numbers: list[int] = []
+        ends = np.zeros(len(texts) + 1, dtype=np.int64)
         for r, t in enumerate(texts):
-            w = words_of(t)
-            if len(w) < SHINGLE:
-                continue
-            key = self.shingles(np.fromiter((get(x, -1) for x in w), dtype=np.int64, count=len(w)))
-            at = np.searchsorted(self.keys, key)
-            at[at == len(self.keys)] = 0
-            ok = np.flatnonzero(self.keys[at] == key) if len(self.keys) else np.array([], dtype=int)
-            if len(ok):
-                rows.append(np.full(len(ok), r))
-                places.append(ok)
-                found.append(at[ok])
-        if not rows:
+            numbers.extend([get(x, -1) for x in words_of(t)])
+            numbers.append(-1)  # no shingle runs into the next text
+            ends[r + 1] = len(numbers)
+        key = self.shingles(np.array(numbers, dtype=np.int64))
+        on = np.flatnonzero(key >= 0)
+        if not len(on) or not len(self.keys):
             none = np.array([], dtype=np.int64)
             return none, none, none
-        return np.concatenate(rows), np.concatenate(places), np.concatenate(found)
+        at = np.searchsorted(self.keys, key[on])
+        at[at == len(self.keys)] = 0
+        ok = self.keys[at] == key[on]
+        on, at = on[ok], at[ok]
+        row = np.searchsorted(ends, on, side="right") - 1
+        return row, on - ends[row], at
 
 
 def load_items(items: DataFrame, key: str = "item_id", text: str = "item_text") -> Items:
