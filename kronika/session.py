@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +46,21 @@ def durable(df: DataFrame, eager: bool = True) -> DataFrame:
             folder = os.path.join(tempfile.gettempdir(), f"kronika-checkpoint-{os.getpid()}")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the package to the executors' Python, once per context; the driver serves the file itself."""
+    sc = spark.sparkContext
+    if getattr(sc, "_kronika_shipped", False):
+        return spark
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="kronika-"), "kronika.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(package):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("kronika", os.path.relpath(path, package)))
+    sc.addPyFile(target)
+    sc._kronika_shipped = True
+    return spark
