@@ -1,0 +1,83 @@
+"""What the engine asks of models and parsers, and deterministic stand-ins that need no network.
+
+The stand-ins make every pipeline run and test offline; they are no claim about the quality of ranking or text.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import math
+from typing import Protocol
+
+from kronika.operators.retrieval import plain_tokens
+
+
+class Embedder(Protocol):
+    def encode(self, texts: list[str]) -> list[list[float]]: ...
+
+
+class Reranker(Protocol):
+    def score(self, question: str, texts: list[str]) -> list[float]: ...
+
+
+class LLMClient(Protocol):
+    def generate(self, system: str, user: str, max_tokens: int = 1600) -> str: ...
+
+
+class PdfParser(Protocol):
+    def pages(self, content: bytes) -> list[str]: ...
+
+
+class HashingEmbedder:
+    """Stand-in: signed word hashes, unit length."""
+
+    def __init__(self, size: int = 64) -> None:
+        self.size = size
+
+    def encode(self, texts: list[str]) -> list[list[float]]:
+        out = []
+        for text in texts:
+            v = [0.0] * self.size
+            for t in plain_tokens(text or ""):
+                h = int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big")
+                v[h % self.size] += 1.0 if h >> 63 else -1.0
+            n = math.sqrt(sum(x * x for x in v)) or 1.0
+            out.append([x / n for x in v])
+        return out
+
+
+class OverlapReranker:
+    """Stand-in: share of the question's words that a text has, of at most `limit` words."""
+
+    def __init__(self, limit: int = 512) -> None:
+        self.limit = limit
+
+    def score(self, question: str, texts: list[str]) -> list[float]:
+        q = set(plain_tokens(question))
+        return [len(q & set(plain_tokens(t)[: self.limit])) / len(q) if q else 0.0 for t in texts]
+
+
+class ScriptedLLM:
+    """Stand-in: gives the answers it was given, in order, the last one for good."""
+
+    def __init__(self, *answers: str) -> None:
+        self.answers, self.calls = list(answers), 0
+
+    def generate(self, system: str, user: str, max_tokens: int = 1600) -> str:
+        self.calls += 1
+        return self.answers[min(self.calls, len(self.answers)) - 1]
+
+
+class EchoLLM:
+    """Stand-in: an empty, valid answer to every request for JSON."""
+
+    def generate(self, system: str, user: str, max_tokens: int = 1600) -> str:
+        return json.dumps({"movements": [], "notes": []})
+
+
+class LinePdfParser:
+    """Stand-in: form feeds part the pages of a text file."""
+
+    def pages(self, content: bytes) -> list[str]:
+        return content.decode("utf-8", "replace").split("\f")
