@@ -7,6 +7,7 @@ process and becomes literals of the plan.
 from __future__ import annotations
 
 import functools
+import json
 import sys
 import unicodedata
 
@@ -47,7 +48,7 @@ def strip_marks(text: Column) -> Column:
     as it is. Null stays null.
     """
     source, target, many = _folding()
-    table = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
+    table = F.from_json(F.lit(json.dumps(many)), "map<string,string>")  # folded to one literal
     chars = F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c))
     wide = F.when(
         text.rlike(r"[\u00A8-\u00BE\u0132-\u0149\u01C4-\u01F3\u02D8-\u02DD\u037A-\u0385\u0587-\u1FFF\u2017\u2024-\uFFFF\x{10000}-\x{10FFFF}]"),

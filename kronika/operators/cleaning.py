@@ -26,70 +26,76 @@ def lines(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
-def is_heading(line: Column) -> Column:
-    s = T.strip(line)
+def is_heading_text(s: Column) -> Column:
+    """Of a stripped line."""
     return (s != "") & (T.count_words(s) <= HEADING_WORDS) & s.rlike(HEADING)
 
 
-def split_footnotes(text: Column) -> Column:
-    """struct<main array<string>, notes array<string>>. From the first line that starts or holds a footnote on,
-    all is footnote; a start counts in the lower half of the page only, an inline one anywhere."""
-    ls = lines(text)
-    n = F.size(ls)
-    at = F.transform(ls, lambda x, i: F.struct(i.alias("i"), x.alias("x"), x.rlike(PAGE_NUMBER).alias("p"), x.rlike(INLINE).alias("inline")))
-    hits = F.filter(at, lambda s: ~s["p"] & (s["inline"] | ((s["i"] >= F.floor(n / 2)) & s["x"].rlike(FOOTNOTE))))
-    cut = F.coalesce(F.try_element_at(hits, F.lit(1))["i"], n)
-    hit = F.try_element_at(hits, F.lit(1))
-    kept = lambda cond: F.transform(F.filter(at, lambda s: cond(s) & ~s["p"]), lambda s: s["x"])
+def with_footnotes(pages: DataFrame) -> DataFrame:
+    """Adds `_main` and `_notes`, arrays of lines. From the first line that starts or holds a footnote on, all is
+    footnote; a start counts in the lower half of the page only, an inline one anywhere.
+
+    Each step is a column of its own, so that it is computed once for a page and not once for each line.
+    """
+    n = F.size("_lines")
+    df = pages.withColumn("_lines", lines(F.col("text")))
+    df = df.withColumn("_at", F.transform("_lines", lambda x, i: F.struct(i.alias("i"), x.alias("x"), x.rlike(PAGE_NUMBER).alias("p"), x.rlike(INLINE).alias("inline"))))
+    starts = lambda s: ~s["p"] & (s["inline"] | ((s["i"] >= F.floor(n / 2)) & s["x"].rlike(FOOTNOTE)))
+    df = df.withColumn("_hit", F.try_element_at(F.filter("_at", starts), F.lit(1)))
+    hit = F.col("_hit")
+    df = df.withColumn("_cut", F.coalesce(hit["i"], n))
+    kept = lambda cond: F.transform(F.filter("_at", lambda s: cond(s) & ~s["p"]), lambda s: s["x"])
     none = F.array().cast("array<string>")
-    main = F.concat(kept(lambda s: s["i"] < cut), F.when(hit["inline"], F.array(F.rtrim(F.regexp_extract(hit["x"], INLINE, 1)))).otherwise(none))
-    first = F.when(hit.isNull(), none).when(hit["inline"], F.array(F.regexp_extract(hit["x"], INLINE, 2))).otherwise(F.array(hit["x"]))
-    return F.struct(main.alias("main"), F.concat(first, kept(lambda s: s["i"] > cut)).alias("notes"))
+    inline = F.coalesce(hit["inline"], F.lit(False))
+    first = F.when(hit.isNull(), none).when(inline, F.array(F.regexp_extract(hit["x"], INLINE, 2))).otherwise(F.array(hit["x"]))
+    return df.withColumns({
+        "_main": F.concat(kept(lambda s: s["i"] < F.col("_cut")), F.when(inline, F.array(F.regexp_extract(hit["x"], INLINE, 1))).otherwise(none)),
+        "_notes": F.concat(first, kept(lambda s: s["i"] > F.col("_cut"))),
+    }).drop("_lines", "_at", "_hit", "_cut")
 
 
-def paragraphs(main: Column) -> Column:
-    """struct<text, dehyphenations, merges>: a heading stands alone, a blank line ends a paragraph, a line after
-    one that ends in a hyphen is glued to it where it starts in lower case."""
+def with_paragraphs(df: DataFrame) -> DataFrame:
+    """Adds `_text`, `_dehyphenations` and `_merges` for the lines in `_main`: a heading stands alone, a blank line ends a
+    paragraph, a line after one that ends in a hyphen is glued to it where it starts in lower case."""
     state = "struct<parts:array<string>,cur:string,open:boolean,dehyphenated:int,merged:int>"
     zero = F.struct(
         F.array().cast("array<string>").alias("parts"), F.lit("").alias("cur"), F.lit(False).alias("open"),
         F.lit(0).alias("dehyphenated"), F.lit(0).alias("merged"),
     ).cast(state)
 
-    def made(acc: Column, parts: Column, cur: Column, open_: Column, d: Column | int = 0, m: Column | int = 0) -> Column:
+    def step(acc: Column, line: Column) -> Column:
+        s, heading = line["s"], line["h"]
+        blank = s == ""
+        stands = blank | heading
+        glue = ~stands & acc["open"] & acc["cur"].endswith("-") & line["low"]
+        on = ~stands & acc["open"]
+        flushed = F.when(stands & acc["open"], F.concat(acc["parts"], F.array(acc["cur"]))).otherwise(acc["parts"])
         return F.struct(
-            parts.alias("parts"), cur.alias("cur"), open_.alias("open"), (acc["dehyphenated"] + d).cast("int").alias("dehyphenated"),
-            (acc["merged"] + m).cast("int").alias("merged"),
+            F.when(heading, F.concat(flushed, F.array(s))).otherwise(flushed).alias("parts"),
+            F.when(stands, F.lit("")).when(glue, F.concat(F.substring(acc["cur"], F.lit(1), F.length(acc["cur"]) - 1), s))
+            .when(on, F.concat(acc["cur"], F.lit(" "), s)).otherwise(s).alias("cur"),
+            (~stands).alias("open"), (acc["dehyphenated"] + glue.cast("int")).alias("dehyphenated"), (acc["merged"] + on.cast("int")).alias("merged"),
         )
 
-    def step(acc: Column, raw: Column) -> Column:
-        line = T.strip(raw)
-        flushed = F.when(acc["open"], F.concat(acc["parts"], F.array(acc["cur"]))).otherwise(acc["parts"])
-        glue = acc["cur"].endswith("-") & line.rlike(r"^\p{IsLowercase}")
-        return (
-            F.when(line == "", made(acc, flushed, F.lit(""), F.lit(False)))
-            .when(is_heading(line), made(acc, F.concat(flushed, F.array(line)), F.lit(""), F.lit(False)))
-            .when(~acc["open"], made(acc, acc["parts"], line, F.lit(True)))
-            .when(glue, made(acc, acc["parts"], F.concat(F.regexp_replace(acc["cur"], r"-\z", ""), line), F.lit(True), 1, 1))
-            .otherwise(made(acc, acc["parts"], F.concat(acc["cur"], F.lit(" "), line), F.lit(True), 0, 1))
-        )
-
-    end = F.aggregate(main, zero, step)
+    df = df.withColumn("_read", F.transform(F.transform("_main", T.strip), lambda s: F.struct(s.alias("s"), is_heading_text(s).alias("h"), s.rlike(r"^\p{IsLowercase}").alias("low"))))
+    df = df.withColumn("_end", F.aggregate("_read", zero, step))
+    end = F.col("_end")
     parts = F.when(end["open"], F.concat(end["parts"], F.array(end["cur"]))).otherwise(end["parts"])
     text = F.regexp_replace(F.regexp_replace(F.array_join(parts, "\n\n"), r"[ \t]+", " "), r"\n{3,}", "\n\n")
-    return F.struct(T.strip(text).alias("text"), end["dehyphenated"].alias("dehyphenations"), end["merged"].alias("merges"))
+    return df.withColumns({
+        "_text": T.strip(text), "_dehyphenations": end["dehyphenated"], "_merges": end["merged"],
+    }).drop("_read", "_end")
 
 
 def clean(pages: DataFrame) -> DataFrame:
     """Pages `(book, page_number, text, ...)` to `(book, page_number, text, word_count, footnotes, footnote_lines,
     dehyphenations, merges)`. Null texts give empty ones; footnotes is null where there is none. No shuffle."""
-    s = pages.select("book", "page_number", split_footnotes(F.col("text")).alias("s"))
-    s = s.select("book", "page_number", paragraphs(F.col("s.main")).alias("p"), F.col("s.notes").alias("notes"))
-    shown = F.filter(F.transform("notes", T.strip), lambda x: x != "")
+    s = with_paragraphs(with_footnotes(pages.select("book", "page_number", "text")))
+    s = s.withColumn("_shown", F.filter(F.transform("_notes", T.strip), lambda x: x != ""))
     return s.select(
-        "book", "page_number", F.col("p.text").alias("text"), T.count_words(F.col("p.text")).alias("word_count"),
-        F.when(F.size(shown) > 0, F.array_join(shown, "\n")).alias("footnotes"), F.size("notes").alias("footnote_lines"),
-        F.col("p.dehyphenations").alias("dehyphenations"), F.col("p.merges").alias("merges"),
+        "book", "page_number", F.col("_text").alias("text"), T.count_words(F.col("_text")).alias("word_count"),
+        F.when(F.size("_shown") > 0, F.array_join("_shown", "\n")).alias("footnotes"), F.size("_notes").alias("footnote_lines"),
+        F.col("_dehyphenations").alias("dehyphenations"), F.col("_merges").alias("merges"),
     )
 
 

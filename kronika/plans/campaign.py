@@ -109,7 +109,7 @@ def consolidate(raw: DataFrame, template: dict | None = None, source: str = "",
     """Events of all answers, merged, as one document per book; after verification they are filtered first."""
     p = payloads(raw)
     e = E.normalize(S.events_of(p))
-    e = e.where(E.is_relevant()) if filtered else e
+    e = E.relevant(e) if filtered else e
     return E.document(E.sequential_merge(E.exact_merge(e)), S.notes_of(p), template, source, fallback)
 
 
@@ -120,7 +120,7 @@ def verify(
     """Relevant events in groups; a group of one passes as it is, the others go to the model, without repairs, and
     what comes back is filtered by the same rule."""
     spark = events.sparkSession
-    g = E.verification_groups(E.normalize(events).where(E.is_relevant()), size)
+    g = E.verification_groups(E.relevant(E.normalize(events)), size)
     fields = ["date", "place", "coordinates", "operation", "division", "notes", "source_chunk_ids", "source_pages"]
     per = g.groupBy("book", "group_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.struct(*fields).alias("e")))).alias("x"))  # at most `size`
     per = per.withColumn("input_events", F.transform("x", lambda x: x["e"])).drop("x")
