@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kronika.session import durable
+
 # Characters beyond ASCII that clean texts of the corpus languages are written with.
 LETTERS = "čćđšžČĆĐŠŽäöüßÄÖÜàèéìòùÀÈÉÌÒÙçãõáâêíóôúÇÃÕÁÂÊÍÓÔÚ"
 MARKS = "–—‘’‚“”„«»…"
@@ -136,7 +138,7 @@ def damaged_words(metadata: DataFrame, corpus: list[tuple[DataFrame, str]], fiel
         .select("book", "field", "value", F.explode(F.array_distinct(F.split("value", _SEPARATORS))).alias("token"))
         .where(F.col("token").rlike(r"[^\x00-\x7F]|\?"))
     )
-    texts = corpus_words([F.col(c) for _, c in corpus], [f for f, _ in corpus])
+    texts = durable(corpus_words([F.col(c) for _, c in corpus], [f for f, _ in corpus]))
     own = corpus_words([F.col("value")], [values])
     words = (
         texts.withColumn("in_texts", F.lit(True)).unionByName(own.withColumn("in_texts", F.lit(False)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kronika.functions import text as T
+from kronika.session import durable
 
 #: Largest table of common words that is taken into the plan.
 MAX_COMMON = 10_000
@@ -92,8 +93,10 @@ def scored(stats: DataFrame, columns: list[str]) -> DataFrame:
 
     The sketches, one row per language, are merged to one for all and joined; they do not grow with the rows.
     """
+    # one row for each language of the common words: made once, whatever the number of texts
     by = sketches(stats, columns)
-    every = by.agg(F.lit("*").alias("text_lang"), F.sum("rows").alias("rows"), *[F.kll_merge_agg_double(c).alias(c) for c in columns])
+    by = stats.sparkSession.createDataFrame(by.collect(), by.schema)
+    every = by.agg(F.lit("*").alias("text_lang"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), *[F.kll_merge_agg_double(c).alias(c) for c in columns])
     rank = lambda c, q: F.kll_sketch_get_quantile_double(c, F.lit(q))
     table = by.where((F.col("rows") >= MIN_ROWS) & (F.col("text_lang") != "und")).unionByName(every).select(
         F.col("text_lang").alias("_lang"),
@@ -102,7 +105,6 @@ def scored(stats: DataFrame, columns: list[str]) -> DataFrame:
             ((rank(F.col(c), 0.75) - rank(F.col(c), 0.25)) / 1.349).alias(f"_{c}_sd"),
         )],
     )
-    # one row for each language of the common words and one for all: made once, whatever the number of texts
     rows = table.collect()
     table = stats.sparkSession.createDataFrame(rows, table.schema)
     have = [r["_lang"] for r in rows]
@@ -123,12 +125,18 @@ def in_tail(tails: dict[str, float] = TAILS) -> Column:
     return F.coalesce(reduce(lambda a, b: a | b, [F.coalesce(h, F.lit(False)) for h in hits], F.lit(False)))
 
 
+def _once(chunks: DataFrame, common: dict[str, list[str]]) -> DataFrame:
+    """Statistics of each chunk, kept while the sketches are made of them. Texts are not shuffled: a chunk loaded twice
+    has the same statistics twice, and those are made one."""
+    s = statistics(chunks.select("book", "chunk_id", "text"), common)
+    return durable(s.select("book", "chunk_id", "text_lang", "letter_words", *STATS).distinct())
+
+
 def found(chunks: DataFrame, pages: DataFrame, common_words: DataFrame) -> DataFrame:
     """`(item, book, item_no)`: chunks in a tail, and pages whose word_count is null or wrong. Blank chunks are
     no case. A key loaded twice comes out once."""
     common = common_by_language(common_words)
-    rows = chunks.select("book", "chunk_id", "text").distinct()
-    s = scored(statistics(rows, common), list(TAILS)).where(in_tail())
+    s = scored(_once(chunks, common), list(TAILS)).where(in_tail())
     p = statistics(pages.select("book", "page_number", "text", "word_count"), common)
     wrong = p.where(F.col("word_count").isNull() | (F.col("word_count") != F.col("n_words")))
     return (
@@ -139,5 +147,5 @@ def found(chunks: DataFrame, pages: DataFrame, common_words: DataFrame) -> DataF
 
 def report(chunks: DataFrame, common_words: DataFrame) -> DataFrame:
     """Every chunk with its statistics, scores and verdict; no shuffle but for the repeated rows."""
-    s = statistics(chunks.select("book", "chunk_id", "text").distinct(), common_by_language(common_words))
-    return scored(s, STATS).withColumn("prose", ~in_tail() & (F.col("n_words") > 0)).drop("text")
+    s = _once(chunks, common_by_language(common_words))
+    return scored(s, STATS).withColumn("prose", ~in_tail() & (F.col("n_words") > 0))
