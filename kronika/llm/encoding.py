@@ -102,7 +102,8 @@ def garbled_forms(words: DataFrame) -> DataFrame:
             for word, n, in_texts in zip(b["word"], b["n"], b["in_texts"]):
                 for w in {word, word.upper(), word[:1].upper() + word[1:]}:
                     for form, chain in garble(w).items():
-                        if len(w) > 1 or w in MARKS or not chain.startswith("lost"):
+                        # a single letter may stand by itself; a mark is not read as one
+                        if (len(w) > 1 or w in MARKS or not chain.startswith("lost")) and not (w in MARKS and form in LETTERS):
                             rows.append((form, w, chain, n, in_texts, w != word))
             yield pd.DataFrame(rows, columns=["form", "word", "chain", "n", "in_texts", "variant"])
 

@@ -97,6 +97,7 @@ def scored(stats: DataFrame, columns: list[str]) -> DataFrame:
     by = sketches(stats, columns)
     by = stats.sparkSession.createDataFrame(by.collect(), by.schema)
     every = by.agg(F.lit("*").alias("text_lang"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), *[F.kll_merge_agg_double(c).alias(c) for c in columns])
+    every = every.where("rows > 0")  # an empty sketch has no quantiles
     rank = lambda c, q: F.kll_sketch_get_quantile_double(c, F.lit(q))
     table = by.where((F.col("rows") >= MIN_ROWS) & (F.col("text_lang") != "und")).unionByName(every).select(
         F.col("text_lang").alias("_lang"),
