@@ -83,21 +83,19 @@ def lexical_score(question: str, norm: Column, vocabulary: Vocabulary = Vocabula
     terms = search_terms(question, vocabulary)
     if not [t for t in plain_tokens(question) if len(t) >= 3]:
         return F.lit(0.0)
-    words = F.array_distinct(F.regexp_extract_all(norm, F.lit(T.WORD), F.lit(0)))
+    words = F.regexp_extract_all(norm, F.lit(T.WORD), F.lit(0))
     once: dict[str, int] = {}
     for t in terms:
         once[t] = once.get(t, 0) + 1
-    hits = F.aggregate(words, F.lit(0), lambda acc, w: acc + F.coalesce(F.try_element_at(_weights(once), w), F.lit(0)))
+    # a term that comes k times counts k times: one intersection for each number of times
+    levels = [[t for t, n in once.items() if n >= k] for k in range(1, max(once.values()) + 1)]
+    hits = sum((F.size(F.array_intersect(words, F.array(*map(F.lit, ts)))) for ts in levels), F.lit(0))
     pairs = sum((norm.contains(f"{a} {b}").cast("int") for a, b in zip(terms, terms[1:])), F.lit(0))
     whole = plain_normalize(question)
     bonus = F.when(norm.contains(whole), 2.0).otherwise(0.0) if len(whole) >= 12 else F.lit(0.0)
     return hits.cast("double") + F.lit(1.5) * pairs + bonus
 
 
-def _weights(once: dict[str, int]) -> Column:
-    return F.create_map(*[F.lit(x) for k, n in once.items() for x in (k, n)])
-
-
 def boost(question: str, vocabulary: Vocabulary = Vocabulary()) -> Column:
     """Sum of the rules that apply; rules of intents the question has not never reach the plan."""
     return boost_for(intent(question, vocabulary), vocabulary)
@@ -174,14 +172,18 @@ def hybrid_topk(
     chunks: DataFrame, vectors: DataFrame, question: str, query: list[float], profile: Profile = Profile(), key: str = "chunk_id",
     vocabulary: Vocabulary = Vocabulary(),
 ) -> DataFrame:
-    """`chunks` with features, `vectors(key, embedding)`, both with unique keys: the `candidate_k` best chunks with all
-    their scores. The boost is computed for the rows of the two branches only."""
+    """`chunks`, `vectors(key, embedding)`, both with unique keys: the `candidate_k` best chunks with all their scores.
+    Features that are stored with the chunks are used; else they, as the boost, are made for the rows of the two
+    branches only."""
     limit = profile.branch_limit
+    stored = "text_norm" in chunks.columns
+    searched = chunks if stored else chunks.withColumn("text_norm", T.normalize(F.coalesce("text", F.lit(""))))
     sem = vector_topk(vectors.select(key, "embedding"), query, limit, key).select(key, "distance", "semantic_rank")
     sem = sem.join(chunks.select(key), key, "left_semi")
-    lex = lexical_topk(chunks, question, limit, key, vocabulary).select(key, "lexical_raw")
+    lex = lexical_topk(searched, question, limit, key, vocabulary).select(key, "lexical_raw")
     ids = F.broadcast(sem.select(key).union(lex.select(key)).distinct())  # at most two limits
-    held = chunks.join(ids, key).withColumn("metadata_boost", boost(question, vocabulary))
+    held = chunks.join(ids, key)
+    held = (held if stored else with_features(held, vocabulary)).withColumn("metadata_boost", boost(question, vocabulary))
     fused = fuse(sem, lex, held, profile.candidate_k, key)
     return held.drop("metadata_boost").join(F.broadcast(fused), key)
 

@@ -43,9 +43,13 @@ def _events(s, d):
     return E.normalize(_t(s, d, "movements").withColumn("ord", F.col("movement_id")))
 
 
-def _documents(s, d):
+def _passages(s, d):
     pages = F.array(F.pmod("doc_id", F.lit(500)).cast("int"))
-    return R.with_features(_t(s, d, "documents").select("doc_id", "text", pages.alias("source_pages")))
+    return _t(s, d, "documents").select("doc_id", "text", pages.alias("source_pages"))
+
+
+def _documents(s, d):
+    return R.with_features(_passages(s, d))
 
 
 def _query_vector(s, d) -> list[float]:
@@ -57,7 +61,7 @@ def _vectors(s, d):
 
 
 def _hybrid(s, d):
-    return R.hybrid_topk(_documents(s, d), _vectors(s, d), QUESTION, _query_vector(s, d), PROFILE, key="doc_id")
+    return R.hybrid_topk(_passages(s, d), _vectors(s, d), QUESTION, _query_vector(s, d), PROFILE, key="doc_id")
 
 
 def _model_answers(s, d):
