@@ -85,7 +85,10 @@ def _search(table: pa.Table, t: Fraction, cells: int) -> Iterator[pa.RecordBatch
     p, q = t.numerator, t.denominator
     prefix = size - -((-p * size) // q) + 1
     mine = pos < prefix[owner]
-    mine &= (flat == hot) if hot else (np.mod(flat, cells) == table.column("cell_no").to_numpy()[0])
+    if hot:
+        mine &= flat == hot
+    else:  # hot words have cells of their own; words are in the order of their lists, so the cold ones come first
+        mine &= (pos < table.column("cold").to_numpy()[order][owner]) & (np.mod(flat, cells) == table.column("cell_no").to_numpy()[0])
     word, rec, at = inverse[mine], owner[mine], pos[mine]
     by = np.lexsort((rec, word))
     word, rec, at = word[by], rec[by], at[by].astype(np.int32)
@@ -169,8 +172,9 @@ def similar_sets(sets: DataFrame, threshold: Fraction = THRESHOLD, cell_rows: in
         ),
     )).cast(spot)
     size_hot = F.try_element_at(F.filter("dw", lambda x: x["w"] == F.col("at.hot")), F.lit(1))["df"]
-    spread = ordered.select("id", "dw", F.explode(F.concat(cold, hot)).alias("at")).select(
-        "id", F.transform("dw", lambda x: x["w"]).alias("ws"), F.col("at.hot").alias("hot"),
+    leading = F.size(F.filter("dw", lambda x: x["df"] <= cell_rows)).alias("cold")
+    spread = ordered.select("id", "dw", leading, F.explode(F.concat(cold, hot)).alias("at")).select(
+        "id", "cold", F.transform("dw", lambda x: x["w"]).alias("ws"), F.col("at.hot").alias("hot"),
         F.col("at.i").alias("cell_no"), F.col("at.j").alias("j"),
         ((F.col("at.hot") != 0) & (F.col("at.i") != F.col("at.j"))).alias("cross"),
         F.when(F.col("at.hot") != 0, F.pmod(F.xxhash64("id"), F.ceil(size_hot / F.lit(cell_rows)))).otherwise(0).cast("int").alias("block"),

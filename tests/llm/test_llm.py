@@ -145,6 +145,13 @@ def test_near_records_are_those_of_all_pairs(spark, cell_rows):
     assert {(r.a, r.b) for r in pairs.collect()} == want and pairs.count() == len(want)
 
 
+def test_a_hot_word_reports_its_pairs_once_beside_cold_words(spark):
+    # twelve words in every record, so hot above 15 records; four of its own that share the cold cells with others'
+    sets = [(i, sorted(WORDS[:12] + [f"r{i}x{k}" for k in range(4)])) for i in range(30)]
+    pairs, _ = near_records.similar_sets(spark.createDataFrame(sets, "id bigint, words array<string>"), cell_rows=15)
+    assert pairs.count() == pairs.distinct().count() == 30 * 29 // 2
+
+
 def test_near_pairs(spark):
     rows = [movement(1, notes="vod je prešao most"), movement(2, notes="Vod je prešao MOST!"), movement(3, notes="vod je presao most prije"), movement(4, notes=None), movement(5, notes=" "), movement(6, notes="nešto drugo " * 9, place="x", op="y"), movement(6, notes="nešto drugo " * 9, place="x", op="y")]
     df = spark.createDataFrame(rows, MOVEMENT)
