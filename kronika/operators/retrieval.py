@@ -9,6 +9,8 @@ import math
 import re
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,9 @@ FEATURES = [
     "is_appendix_like", "looks_list_like",
 ]
 
+#: Rows of a block in a search for many queries, and queries of it that are scored at once.
+BLOCK_ROWS, QUERIES = 20_000, 64
+
 
 def plain_tokens(text: str) -> list[str]:
     return re.findall(r"[^\W]+", plain_normalize(text))
@@ -138,6 +143,67 @@ def vector_topk(vectors: DataFrame, query: list[float], limit: int, key: str = "
     return top.withColumn("semantic_rank", F.row_number().over(Window.orderBy("distance", key)))  # over `limit` rows
 
 
+def _nearest(left: pa.Table, right: pa.Table, limit: int) -> pa.Table:
+    """The nearest vectors of one block for each query of another, all of one length."""
+
+    def read(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        flat = t.column("v").combine_chunks()
+        flat = (flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat).flatten()
+        m = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
+        m[flat.is_null().to_numpy(zero_copy_only=False).reshape(m.shape).any(axis=1)] = 0.0  # as a vector without a direction
+        own = np.zeros(len(m))
+        for d in range(m.shape[1]):
+            own += m[:, d] * m[:, d]
+        return t.column("id").to_numpy(), m, np.sqrt(own)
+
+    out: list[list[np.ndarray]] = [[], [], []]
+    if left.num_rows and right.num_rows:
+        (ids, m, norm), (qids, q, qnorm) = read(left), read(right)
+        for lo in range(0, len(qids), QUERIES):
+            # products are added in the order of the one-question form, so that equal vectors stay equal
+            dot = np.zeros((len(q[lo : lo + QUERIES]), len(ids)))
+            for d in range(m.shape[1]):
+                dot += q[lo : lo + QUERIES, d, None] * m[None, :, d]
+            both = norm[None, :] * qnorm[lo : lo + QUERIES, None]
+            distance = 1.0 - np.divide(dot, both, out=np.zeros_like(dot), where=both != 0)
+            for qid, row in zip(qids[lo : lo + QUERIES], distance):
+                best = np.lexsort((ids, row))[:limit]
+                for o, x in zip(out, (np.full(len(best), qid), ids[best], row[best])):
+                    o.append(x)
+    ids_, dist = [np.concatenate(o) if o else np.array([], np.int64) for o in out[:2]], out[2]
+    return pa.table({
+        "query_id": pa.array(ids_[0], pa.int64()), "id": pa.array(ids_[1], pa.int64()),
+        "distance": pa.array(np.concatenate(dist) if dist else [], pa.float64()),
+    })
+
+
+def vector_topk_batch(
+    vectors: DataFrame, queries: DataFrame, limit: int, key: str = "chunk_id", column: str = "embedding", block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """`vector_topk` for every row of `queries(query_id bigint, <column>)`: `(query_id, key, distance, semantic_rank)`.
+
+    Every block of queries meets every block of vectors in a cell, which keeps the `limit` nearest of each query; these
+    are merged per query. Nothing is broadcast or collected. Vectors meet queries of their own length; rows without an
+    id, which no result could name, are left out; a row given twice counts once.
+    """
+    side = lambda df, k: df.where(F.col(k).isNotNull() & F.col(column).isNotNull()).select(F.col(k).cast("bigint").alias("id"), F.col(column).alias("v"), F.size(column).alias("dim")).where("dim > 0").distinct()
+    v, q = side(vectors, key), side(queries, "query_id")
+    nv, nq = max(8, -(-v.count() // block_rows)), max(1, -(-q.count() // block_rows))
+    spot = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = v.withColumn("vb", spot(nv)).withColumn("qb", every(nq))
+    q = q.withColumn("qb", spot(nq)).withColumn("vb", every(nv))
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _nearest(left, right, limit)
+
+    cell = ["dim", "vb", "qb"]
+    near = v.groupBy(*cell).cogroup(q.groupBy(*cell)).applyInArrow(search, "query_id bigint, id bigint, distance double")
+    order = Window.partitionBy("query_id").orderBy("distance", "id")
+    ranked = near.withColumn("semantic_rank", F.row_number().over(order)).where(F.col("semantic_rank") <= limit)
+    return ranked.select("query_id", F.col("id").alias(key), "distance", "semantic_rank")
+
+
 # ---------------------------------------------------------------- fusion
 
 

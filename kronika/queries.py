@@ -60,6 +60,11 @@ def _vectors(s, d):
     return _t(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
 
 
+def _query_vectors(s, d):
+    """The queries of a search for many: every row whose id is divisible by 100."""
+    return _t(s, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
 def _hybrid(s, d):
     return R.hybrid_topk(_passages(s, d), _vectors(s, d), QUESTION, _query_vector(s, d), PROFILE, key="doc_id")
 
@@ -116,6 +121,7 @@ def queries() -> dict[str, Query]:
         "metadata_boost": lambda s, d: _documents(s, d).select("doc_id", *[F.round(R.boost_for({k: True}), 6).alias(k) for k in [*C.INTENT_TERMS, *C.INTENT_SUBSTRINGS]]),
         "lexical_topk": lambda s, d: R.lexical_topk(_documents(s, d), QUESTION, 80, "doc_id").select("doc_id", F.col("lexical_raw").alias("score")),
         "vector_topk": lambda s, d: R.vector_topk(_vectors(s, d), _query_vector(s, d), 80, "doc_id").select("doc_id", r6("distance"), "semantic_rank"),
+        "vector_topk_batch": lambda s, d: R.vector_topk_batch(_vectors(s, d), _query_vectors(s, d), 80, "doc_id").select("query_id", "doc_id", r6("distance"), "semantic_rank"),
         "hybrid_topk": lambda s, d: _hybrid(s, d).select("doc_id", "rank", "semantic_rank", *map(r6, ("distance", "semantic_score", "lexical_score", "metadata_boost", "combined_score"))),
         "source_summaries": lambda s, d: R.sources(_hybrid(s, d).where(F.col("rank") <= PROFILE.top_k), "doc_id"),
         "context_block": lambda s, d: R.context(_hybrid(s, d).where(F.col("rank") <= PROFILE.top_k), "doc_id"),
@@ -383,6 +389,11 @@ def oracle_sql() -> dict[str, str]:
         "metadata_boost": f"WITH {_DOCS} SELECT doc_id, {', '.join(f'round({_boost_sql({k: True})}, 6) AS {k}' for k in [*C.INTENT_TERMS, *C.INTENT_SUBSTRINGS])} FROM featured",
         "lexical_topk": f"WITH {_DOCS}, {_lexical_sql(QUESTION).replace("{limit}", "80")} SELECT * FROM lex",
         "vector_topk": f"WITH {_SEM.replace("{limit}", "80")} SELECT doc_id, round(distance, 6) AS distance, semantic_rank FROM sem",
+        "vector_topk_batch": """
+            WITH v AS (SELECT DISTINCT vec_id AS doc_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+            n AS (SELECT q.doc_id AS query_id, v.doc_id, list_cosine_distance(v.v, q.v) AS distance FROM v JOIN v q ON q.doc_id % 100 = 0 AND len(q.v) = len(v.v)),
+            k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id)::INT AS semantic_rank FROM n QUALIFY semantic_rank <= 80)
+            SELECT query_id, doc_id, round(distance, 6) AS distance, semantic_rank FROM k""",
         "hybrid_topk": f"WITH {_HYBRID} SELECT doc_id, rank, semantic_rank, round(distance, 6) AS distance, round(semantic_score, 6) AS semantic_score, round(lexical_score, 6) AS lexical_score, round(metadata_boost, 6) AS metadata_boost, round(combined_score, 6) AS combined_score FROM fused",
         "source_summaries": f"""WITH {_HYBRID}, {_citation('top')}, z AS (SELECT *, {_compact("coalesce(text, '')")} AS c FROM top LEFT JOIN cited USING (rid))
             SELECT rank, 'Source ' || rank || chr(10) || 'chunk_id: ' || doc_id || chr(10) || 'pages: ' || citation || chr(10) || 'distance: ' || printf('%.4f', distance) || chr(10) || coalesce(text, '') AS block,

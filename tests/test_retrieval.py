@@ -47,6 +47,24 @@ def test_vectors_of_other_length_or_null_are_left_out(spark):
     assert [(r.chunk_id, r.distance, r.semantic_rank) for r in R.vector_topk(v, [1.0, 0.0], 5).collect()] == [(1, 0.0, 1), (2, 1.0, 2)]
 
 
+def test_every_query_of_a_batch_gets_what_it_gets_alone(spark):
+    from kronika import queries as Q
+
+    d = "/root/testdata/sf0.01"
+    got = {}
+    for x in Q.queries()["vector_topk_batch"](spark, d).collect():
+        got.setdefault(x.query_id, {})[x.semantic_rank] = x.doc_id
+    asked = {x.query_id: x.embedding for x in Q._query_vectors(spark, d).collect()}
+    assert len(asked) == 5 and got.keys() == asked.keys() and all(list(sorted(r)) == list(range(1, 81)) for r in got.values())
+    for i in (0, 400):
+        assert {x.semantic_rank: x.doc_id for x in R.vector_topk(Q._vectors(spark, d), asked[i], 80, "doc_id").collect()} == got[i]
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0]), (5, [1.0, None]), (6, [1.0, 0.0]), (6, [1.0, 0.0])], "chunk_id bigint, embedding array<double>")
+    q = v.select(F.col("chunk_id").alias("query_id"), "embedding").where("chunk_id in (1, 3, 4)")
+    for rows in (1, 1000):
+        r = R.vector_topk_batch(v, q, 3, block_rows=rows).collect()
+        assert sorted((x.query_id, x.semantic_rank, x.chunk_id, x.distance) for x in r) == [(1, 1, 1, 0.0), (1, 2, 6, 0.0), (1, 3, 2, 1.0), (4, 1, 4, 0.0)]
+
+
 def test_engine_and_service(spark, tmp_path):
     texts = ["Prva brigada je osnovana u selu.", "Most je srušen u noći.", "Brigada je krenula prema obali.", None, ""]
     df = chunks(spark, [("b1", i, [i, i + 1], t, 5) for i, t in enumerate(texts, 1)] + [("b2", 1, None, "Drugo.", 1)] * 2)
