@@ -173,6 +173,32 @@ def _scan(documents: DataFrame) -> DataFrame:
     )
 
 
+def _places(texts: DataFrame) -> DataFrame:
+    """`(sha, t)` to rows of ends (`last`: the closing word; key: the shingle before it) and of places (`next`: the word behind
+    the last place of the shingle `key`, and whether the sentence goes on behind that word). n: shingles of the text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            for lo in range(0, len(f), 64):
+                rows = []
+                for sha, t in zip(f["sha"][lo : lo + 64], f["t"][lo : lo + 64]):
+                    t = t.lower()
+                    spans = [m.span() for m in _WORD.finditer(t)]
+                    w = [t[a:b] for a, b in spans]
+                    if len(w) <= SHINGLE:
+                        continue
+                    last = {zlib.crc32(" ".join(w[i : i + SHINGLE]).encode()): i + SHINGLE for i in range(len(w) - SHINGLE + 1)}
+                    n = len(last)
+                    rows.append((sha, zlib.crc32(" ".join(w[-SHINGLE - 1 : -1]).encode()), w[-1], None, None, n))
+                    for key, p in last.items():
+                        if p < len(w):
+                            more = p + 1 < len(w) and not re.search(r"[.!?…\n]", t[spans[p][1] : spans[p + 1][0]])
+                            rows.append((sha, key, None, w[p], more, n))
+                yield pd.DataFrame(rows, columns=["sha", "key", "last", "next", "more", "n"])
+
+    return texts.mapInPandas(run, "sha string, key bigint, last string, next string, more boolean, n int")
+
+
 def _goes_on(pairs: DataFrame) -> DataFrame:
     """`(id, a, b)`, texts of near-copies, to `(id, cut)`: whether a ends where b goes on inside a word or sentence."""
 
@@ -202,7 +228,7 @@ def _goes_on(pairs: DataFrame) -> DataFrame:
         for f in batches:
             yield pd.DataFrame({"id": f["id"], "aligned": [one(a, b) for a, b in zip(f["a"], f["b"])]})
 
-    return pairs.mapInPandas(run, "id bigint, aligned boolean")
+    return pairs.mapInPandas(run, "id string, aligned boolean")
 
 
 def endings(documents: DataFrame) -> DataFrame:
@@ -210,42 +236,43 @@ def endings(documents: DataFrame) -> DataFrame:
     or null where the text is whole. Null, empty and blank texts are whole; an id given twice counts once, and is
     cut where one of its texts is.
 
-    A bucket of the banding may hold any number of texts: each is held against the longest one of its bucket,
-    found by a partly pre-made maximum, so that no bucket comes into one task.
+    A text is held against every near-copy that goes on where it ends: exact copies are one text, and the last whole
+    words of each text are looked up among the shingles of all texts that share a bucket of the banding with any other.
     """
     scan = durable(_scan(documents))
     docs = scan.where("manner is not null")
     uses = scan.where("manner is null").groupBy("word").agg(F.sum("n").alias("uses"), F.sum("closing").alias("closing"))
     # near-copies
-    band = docs.where("bands is not null").select("id", "length", "manner", F.posexplode("bands").alias("band", "h"))
-    longest = band.groupBy("band", "h").agg(F.max(F.struct("length", "id")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    open_ = band.where(F.col("manner").isin("cut", "mark", "word", "name"))
-    pairs = (
-        open_.join(longest, ["band", "h"]).where(F.col("top.length") > F.col("length"))
-        .select("id", F.col("top.id").alias("other")).distinct()
-    )
-    pairs = durable(pairs)
-    # a third of all texts may be copies of one: a text is looked up by its id, of which it has one
-    texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("id"), "text").where("text is not null")
-    wanted = pairs.select("id").union(pairs.select("other")).distinct()
-    held = texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
-    matched = pairs.join(held.withColumnRenamed("text", "a"), "id").join(held.select(F.col("id").alias("other"), F.col("text").alias("b")), "other")
-    aligned = _goes_on(matched.select("id", "a", "b")).groupBy("id").agg(F.bool_or("aligned").alias("aligned"))
+    band = docs.where("bands is not null").select("id", F.posexplode("bands").alias("band", "h"))
+    shared = band.groupBy("band", "h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("band", "h")
+    near = band.join(shared, ["band", "h"], "left_semi").select("id").distinct()
+    texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").alias("t")).where("text is not null")
+    held = durable(texts.join(near, "id", "left_semi").withColumn("sha", F.sha2("t", 256)))
+    once = held.groupBy("sha").agg(F.first("t").alias("t"))
+    places = durable(_places(once))
+    ends = places.where("last is not null").select(F.col("sha").alias("id"), "key", "last", F.col("n").alias("m"))
+    on = places.where("next is not null").select(F.col("sha").alias("other"), "key", "next", "more", "n")
+    goes = F.col("next").startswith(F.col("last")) & (F.col("more") | (F.length("next") > F.length("last")))
+    fits = F.least("m", "n") >= F.lit(SIMILAR) * F.greatest("m", "n") - 1  # one less for shingles of the same sum
+    pairs = durable(ends.join(on, "key").where((F.col("id") != F.col("other")) & goes & fits).select("id", "other").distinct())
+    matched = pairs.join(once.select(F.col("sha").alias("id"), F.col("t").alias("a")), "id").join(once.select(F.col("sha").alias("other"), F.col("t").alias("b")), "other")
+    cut = _goes_on(matched.select("id", "a", "b")).where("aligned").select(F.col("id").alias("sha")).distinct()
+    aligned = held.join(cut, "sha", "left_semi").select("id", F.lit(True).alias("aligned")).distinct()
     # lengths at which a source cuts
     per = docs.groupBy("source", "length").agg(F.count(F.lit(1)).alias("k"), F.count_if(~F.col("manner").isin("whole", "empty")).alias("unended"))
     every = per.groupBy("source").agg(F.sum("k").alias("all"))
     limits = per.join(every, "source").where(
         (F.col("unended") >= LIMIT_ROWS) & (F.col("unended") >= LIMIT_SHARE * F.col("all")) & (F.col("unended") >= 0.5 * F.col("k"))
     ).select("source", "length", F.lit(True).alias("limit"))
-    closed = docs.where(F.col("manner").isin("whole", "empty"))
+    closed = docs.where(F.col("manner") == "empty")
     judged = (
-        docs.where(~F.col("manner").isin("whole", "empty")).drop("n", "closing", "bands")
+        docs.where(F.col("manner") != "empty").drop("n", "closing", "bands")
         .join(uses, "word", "left").join(limits, ["source", "length"], "left").join(aligned, "id", "left")
     )
     known = F.coalesce(F.col("uses"), F.lit(0)) > 0
     can_close = known & F.when(F.col("uses") < FEW, F.col("capital")).otherwise(F.col("closing") >= CLOSES * F.col("uses"))
     reason = (
-        F.when(F.col("aligned"), "copy").when(F.col("manner") == "cut", "ending").when(F.col("limit"), "limit")
+        F.when(F.col("aligned"), "copy").when(F.col("manner") == "cut", "ending").when(F.col("limit") & (F.col("manner") != "whole"), "limit")
         .when((F.col("manner") == "word") & ~can_close, "word").when((F.col("manner") == "name") & ~known, "name").when((F.col("manner") == "mark") & ~can_close, "mark")
     )
     out = judged.select("id", "source", "length", reason.alias("reason")).unionByName(

@@ -225,3 +225,13 @@ def test_truncation(spark):
     shares = {x.source: (x.documents, x.cut) for x in truncation.by_source(df).collect()}
     assert shares[None] == (1, 0) and shares["s"][0] == 5
     assert truncation.found(df.limit(0)).count() == 0
+
+
+def test_a_cut_is_found_beside_a_longer_copy_that_reads_otherwise(spark):
+    rng = random.Random(6)
+    body = " ".join(f"{rng.choice(WORDS)}{chr(97 + i % 26)}{rng.choice(WORDS)}" for i in range(3000))
+    other = "Vis je otok na moru"
+    docs = [(1, body + " na Visu"), (2, body + " na Vis"), (3, body + " kod Komiže i Visa toga dana"), (4, other), (5, body + " na Vis")]
+    df = spark.createDataFrame([(i, t, "s") for i, t in docs], "doc_id bigint, text string, source string")
+    r = {x.doc_id: x.reason for x in truncation.endings(df).collect()}
+    assert r[2] == r[5] == "copy" and r[1] != "copy" and r[3] != "copy"
