@@ -3,12 +3,13 @@
 A prefix-filtered set join. An item is the set of its shingles of three words. A passage that repeats more
 than half of the item's words in runs of three and more has at least a third of as many of its shingles.
 So, with the item's shingles ordered by their rarity in the corpus, a document without any of the rarest
-of them, all but as many as must be shared less one, can't hold such a passage; it is not looked at.
-The rest goes through a bound by position: the words in runs that lie within one window of twice the
-item's length. What is left is verified exactly, word by word and in order, over such windows.
+of them, all but as many as must be shared less one, can't hold such a passage: the pairs to look at come
+from a join on these prefix shingles alone. A bound by position follows, the words in runs that lie within
+one window of twice the item's length. What is left is verified exactly, word by word and in order.
 
-Items don't grow with the corpus: their shingles travel with the tasks, after a check of their number.
-Documents are never shuffled: the two passes over them give back counts and hits only.
+Documents are read and cut into words once; what goes on is, for each document that could hold a passage
+of any item at all, the places of item shingles in it. Items travel with the tasks in blocks of bounded
+size, one such pass for each block, so that no number of items is too large.
 """
 
 from __future__ import annotations
@@ -17,19 +18,22 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kronika.session import durable
+
 #: Words of a shingle, and the shortest run that counts. The similarity of 0.8 on five words, meant for
 #: near-duplicate texts, does not hold here: half of the words in short runs are a case.
 SHINGLE = 3
 #: Share of an item's words that must be passed, and the window in item lengths.
 SHARE, WINDOW = 0.5, 2
-#: Words of all items together that are taken into the tasks.
-MAX_WORDS = 20_000_000
+#: Characters of items that travel with the tasks of one pass; more items make more passes.
+BLOCK_CHARS = 8_000_000
 
 _MARKS = re.compile("[̀-ͯ҃-҉᪰-᫿᷀-᷿⃐-⃰︠-︯]+")
 _WORD = re.compile(r"[^\W_]+")
@@ -46,31 +50,17 @@ def words_of(text: str | None) -> list[str]:
 
 @dataclass
 class Items:
-    """Items as arrays: shingles are numbers over the items' own words; a shingle maps to (item, position)."""
+    """Items as arrays. A shingle is the number of its first two words' pair, and of that and the third word."""
 
     ids: np.ndarray
     length: np.ndarray
     vocabulary: dict[str, int]
+    pairs: np.ndarray  # distinct pairs of words that open a shingle, sorted
     keys: np.ndarray  # distinct shingles, sorted
     offset: np.ndarray  # of a shingle in item and at
     item: np.ndarray
     at: np.ndarray
 
-    def shingles(self, numbers: np.ndarray) -> np.ndarray:
-        """Key of the shingle that starts at each word, -1 where a word is unknown or the text ends."""
-        n, v = len(numbers), len(self.vocabulary) + 1
-        if n < SHINGLE:
-            return np.full(n, -1, dtype=np.int64)
-        out = np.full(n, -1, dtype=np.int64)
-        parts = [numbers[i : n - SHINGLE + 1 + i] for i in range(SHINGLE)]
-        key = np.zeros(n - SHINGLE + 1, dtype=np.int64)
-        for p in parts:
-            key = key * v + p
-        bad = np.logical_or.reduce([p < 0 for p in parts])
-        key[bad] = -1
-        out[: len(key)] = key
-        return out
-
     def hits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, position, shingle) of every item shingle in the texts."""
         get = self.vocabulary.get
@@ -80,53 +70,60 @@ class Items:
             numbers.extend([get(x, -1) for x in words_of(t)])
             numbers.append(-1)  # no shingle runs into the next text
             ends[r + 1] = len(numbers)
-        key = self.shingles(np.array(numbers, dtype=np.int64))
-        on = np.flatnonzero(key >= 0)
-        if not len(on) or not len(self.keys):
-            none = np.array([], dtype=np.int64)
-            return none, none, none
-        at = np.searchsorted(self.keys, key[on])
-        at[at == len(self.keys)] = 0
-        ok = self.keys[at] == key[on]
-        on, at = on[ok], at[ok]
+        w = np.array(numbers, dtype=np.int64)
+        v = len(self.vocabulary)
+        on = np.flatnonzero((w[:-2] >= 0) & (w[1:-1] >= 0) & (w[2:] >= 0))
+        on, p = _lookup(self.pairs, w[on] * v + w[on + 1], on)
+        on, s = _lookup(self.keys, p * v + w[on + 2], on)
         row = np.searchsorted(ends, on, side="right") - 1
-        return row, on - ends[row], at
+        return row, on - ends[row], s
+
+
+def _lookup(table: np.ndarray, keys: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of `of` whose key is in the sorted table, and its place there."""
+    if not len(table) or not len(keys):
+        return of[:0], keys[:0]
+    at = np.searchsorted(table, keys)
+    at[at == len(table)] = 0
+    ok = table[at] == keys
+    return of[ok], at[ok]
+
+
+def _rows(items: DataFrame, key: str, text: str) -> DataFrame:
+    return items.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("bigint").alias("i")).agg(F.max(text).alias("t"))
 
 
-def load_items(items: DataFrame, key: str = "item_id", text: str = "item_text") -> Items:
-    """Null ids, null texts and texts of fewer than three words are left out; an id twice counts once."""
-    size = items.agg(F.sum(F.length(text))).first()[0] or 0
-    if size > MAX_WORDS * 6:
-        raise ValueError("the items are too large to go with every task; give them in parts")
-    rows = items.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(text).alias("t")).orderBy(key).collect()
-    texts = [(r[key], w) for r in rows if len(w := words_of(r["t"])) >= SHINGLE]
+def make_items(texts: list[tuple[int, str | None]]) -> Items:
+    """Texts of fewer than three words are left out."""
+    kept = [(i, w) for i, t in texts if len(w := words_of(t)) >= SHINGLE]
     vocabulary: dict[str, int] = {}
-    for _, w in texts:
+    for _, w in kept:
         for x in w:
             vocabulary.setdefault(x, len(vocabulary))
-    if (len(vocabulary) + 1) ** SHINGLE >= 2**63:
-        raise ValueError("too many different words in the items")
-    out = Items(np.array([i for i, _ in texts], dtype=np.int64), np.array([len(w) for _, w in texts], dtype=np.int64), vocabulary, *[np.array([], dtype=np.int64)] * 4)
-    key_, item, at = [], [], []
-    for n, (_, w) in enumerate(texts):
-        k = out.shingles(np.array([vocabulary[x] for x in w], dtype=np.int64))[: len(w) - SHINGLE + 1]
-        key_.append(k)
-        item.append(np.full(len(k), n))
-        at.append(np.arange(len(k)))
-    if key_:
-        k, i, a = np.concatenate(key_), np.concatenate(item), np.concatenate(at)
-        by = np.lexsort((a, i, k))
-        out.keys, start = np.unique(k[by], return_index=True)
-        out.offset, out.item, out.at = np.append(start, len(k)), i[by], a[by]
-    return out
+    v, none = len(vocabulary), np.array([], dtype=np.int64)
+    first, third, item, at = [none], [none], [none], [none]
+    for n, (_, w) in enumerate(kept):
+        x = np.array([vocabulary[y] for y in w], dtype=np.int64)
+        first.append(x[:-2] * v + x[1:-1])
+        third.append(x[2:])
+        item.append(np.full(len(x) - 2, n))
+        at.append(np.arange(len(x) - 2))
+    pairs, p = np.unique(np.concatenate(first), return_inverse=True)
+    k, i, a = p * v + np.concatenate(third), np.concatenate(item), np.concatenate(at)
+    by = np.lexsort((a, i, k))
+    keys, start = np.unique(k[by], return_index=True)
+    ids, length = np.array([i for i, _ in kept], dtype=np.int64), np.array([len(w) for _, w in kept], dtype=np.int64)
+    return Items(ids, length, vocabulary, pairs, keys, np.append(start, len(k)), i[by], a[by])
 
 
 def prefixes(items: Items, frequency: np.ndarray) -> np.ndarray:
     """For each entry (item, position) of the items whether its shingle is one of the item's rarest, which a case must share."""
-    shingle = np.repeat(np.arange(len(items.keys)), np.diff(items.offset)) if len(items.keys) else np.array([], dtype=int)
+    shingle = np.repeat(np.arange(len(items.keys)), np.diff(items.offset))
     chosen = np.zeros(len(shingle), dtype=bool)
+    by = np.argsort(items.item, kind="stable")
+    ends = np.searchsorted(items.item[by], np.arange(len(items.ids) + 1))
     for n in range(len(items.ids)):
-        mine = np.flatnonzero(items.item == n)
+        mine = by[ends[n] : ends[n + 1]]
         distinct = np.unique(shingle[mine])
         # more than half of the words, three to a shingle at the worst; a word may stand in the item twice
         must = max(1, int(np.floor(items.length[n] * SHARE / SHINGLE)) + 1 - (len(mine) - len(distinct)))
@@ -139,89 +136,155 @@ def prefixes(items: Items, frequency: np.ndarray) -> np.ndarray:
 def passage(places: np.ndarray, at: np.ndarray, length: int) -> int:
     """Most words of an item, in its order and in runs, in one window of a document; hits sorted by (place, at)."""
     best, span = 0, WINDOW * length
-    n = len(places)
-    end = np.searchsorted(places, places + span - SHINGLE, side="right")
-    seen = -1
-    for s in range(n):
-        if places[s] == seen:
-            continue
-        seen = places[s]
+    end = np.searchsorted(places, places + span - SHINGLE, side="right").tolist()
+    fresh = np.flatnonzero(np.diff(places, prepend=-1)).tolist()
+    p, a = places.tolist(), at.tolist()
+    for s in fresh:
         e = end[s]
-        covered = np.unique((at[s:e, None] + np.arange(SHINGLE)).ravel())
-        if len(covered) <= best:
-            continue
-        p, a = places[s:e], at[s:e]
-        score = np.full(e - s, SHINGLE)
-        for k in range(1, e - s):
-            before = (p[:k] + SHINGLE <= p[k]) & (a[:k] + SHINGLE <= a[k])
-            # one or two words more where a run goes on
-            for step in range(1, SHINGLE):
-                on = np.flatnonzero((p[:k] == p[k] - step) & (a[:k] == a[k] - step))
-                if len(on):
-                    score[k] = max(score[k], score[on].max() + step)
-            if before.any():
-                score[k] = max(score[k], score[:k][before].max() + SHINGLE)
-        best = max(best, int(score.max()))
+        covered = np.zeros(length, dtype=bool)
+        for i in range(SHINGLE):
+            covered[at[s:e] + i] = True
+        if np.count_nonzero(covered) > best:
+            best = max(best, _chain(p[s:e], a[s:e], length))
     return best
 
 
-def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`(doc_id, item_id, words, item_words)`: documents with a passage that repeats more than half of an item's
-    words. Null and empty texts hold none; a document given twice counts once. Empty tables give no row.
-    """
-    known = load_items(items)
-    docs = documents.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("d"), F.col(text).alias("t"))
+def _chain(p: list[int], a: list[int], length: int) -> int:
+    """Most words in a chain of runs that go up in place and item: a run's next shingle adds what is new in it, a
+    later run all of its words. The best chain up to each place of the item is kept as prefix maxima in a tree."""
+    tree = [0] * (length + 1)
+    waiting = 0
+    score: list[int] = []
+    runs: dict[int, tuple[int, int]] = {}  # by diagonal: the last shingle's place and score
+    for k, (x, y) in enumerate(zip(p, a)):
+        while p[waiting] + SHINGLE <= x:
+            i = a[waiting] + SHINGLE
+            while i <= length:
+                if tree[i] < score[waiting]:
+                    tree[i] = score[waiting]
+                i += i & -i
+            waiting += 1
+        most, i = 0, y
+        while i:
+            most = max(most, tree[i])
+            i -= i & -i
+        own = most + SHINGLE
+        before = runs.get(x - y)
+        if before and x - before[0] < SHINGLE:
+            own = max(own, before[1] + x - before[0])
+        runs[x - y] = (x, own)
+        score.append(own)
+    return max(score)
+
+
+def _entries(offset: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of each shingle, and which hit each belongs to."""
+    k = offset[s + 1] - offset[s]
+    hit = np.repeat(np.arange(len(s)), k)
+    return offset[s][hit] + np.arange(len(hit)) - (np.cumsum(k) - k)[hit], hit
+
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _verified(known: Items, rare: np.ndarray, row: np.ndarray, place: np.ndarray, s: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Hits of some documents to (row, item, words, length) of each pair that is a case."""
+    # the prefix join: only prefix shingles make pairs
+    first = np.concatenate(([0], np.cumsum(rare)))[known.offset]
+    some = np.flatnonzero(rare)
+    n = len(known.ids)
+    e, hit = _entries(first, s)
+    pairs = np.unique(row[hit] * n + known.item[some[e]])
+    if not len(pairs):
+        return
+    mine = np.zeros(row[-1] + 1, dtype=bool)
+    mine[pairs // n] = True
+    mine = mine[row]
+    row, place, s = row[mine], place[mine], s[mine]
+    e, hit = _entries(known.offset, s)
+    item = known.item[e]
+    pair = row[hit] * n + item
+    ok, _ = _lookup(pairs, pair, np.arange(len(pair)))
+    pair, item, place, at = pair[ok], item[ok], place[hit[ok]], known.at[e[ok]]
+    by = np.lexsort((at, place, pair))
+    pair, item, place, at = pair[by], item[by], place[by], at[by]
+    # bound by position: a run's first shingle stands for three words, every other for one
+    far = np.int64(place.max() + WINDOW * known.length.max() + 2)
+    diagonal = (pair * far + place) * (known.at.max() + 2) + at
+    goes_on = np.zeros(len(pair), dtype=bool)
+    goes_on[_lookup(np.sort(diagonal + known.at.max() + 3), diagonal, np.arange(len(pair)))[0]] = True
+    total = np.cumsum(np.where(goes_on, 1, SHINGLE))
+    here = pair * far + place
+    last = np.searchsorted(here, here + WINDOW * known.length[item] - SHINGLE, side="right") - 1
+    # a window may start inside a run
+    most = total[last] - total + SHINGLE
+    for g in np.unique(pair[most > known.length[item] * SHARE]):
+        lo, hi = np.searchsorted(pair, g), np.searchsorted(pair, g, side="right")
+        length = int(known.length[item[lo]])
+        w = passage(place[lo:hi], at[lo:hi], length)
+        if w > length * SHARE:
+            yield int(g // n), int(g % n), w, length
+
+
+def _leaks(docs: DataFrame, known: Items) -> DataFrame:
+    shortest = float(known.length.min()) * SHARE if len(known.ids) else 0.0
+    longest = int(known.length.max()) * WINDOW if len(known.ids) else 0
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            row, place, s = known.hits(b["t"].tolist())
+            total = np.bincount(s, minlength=len(known.keys))
+            # words of item shingles in a window of the longest item: with fewer than the shortest needs, a text holds no passage
+            key = row * 2**40 + place
+            total_words = np.cumsum(np.minimum(np.diff(key, append=2**62), SHINGLE))
+            last = np.searchsorted(key, key + longest, side="right") - 1
+            able = np.unique(row[total_words[last] - total_words + SHINGLE > shortest])
+            edge = np.searchsorted(row, np.arange(len(b) + 1))
+            ids = b["d"].to_numpy()
+            out = [(ids[r], place[edge[r] : edge[r + 1]].astype("<i4").tobytes(), s[edge[r] : edge[r + 1]].astype("<i4").tobytes()) for r in able]
+            has = np.flatnonzero(total)
+            out.append((None, total[has].astype("<i8").tobytes(), has.astype("<i4").tobytes()))
+            f = pd.DataFrame(out, columns=["d", "place", "s"])
+            yield f.assign(d=f["d"].astype("Int64"))
+
+    hits = durable(docs.mapInPandas(scan, "d bigint, place binary, s binary"))
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(len(known.keys), dtype=np.int64)
         for b in batches:
-            _, _, s = known.hits(b["t"].tolist())
-            total += np.bincount(s, minlength=len(total))
+            for n, s in zip(b["place"], b["s"]):
+                total[np.frombuffer(s, "<i4")] += np.frombuffer(n, "<i8")
         has = np.flatnonzero(total)
         yield pd.DataFrame({"s": has.astype("int32"), "n": total[has]})
 
     frequency = np.zeros(len(known.keys), dtype=np.int64)
-    for r in docs.mapInPandas(count, "s int, n bigint").groupBy("s").agg(F.sum("n").alias("n")).collect():  # one row per item shingle
+    counts = hits.where("d is null").drop("d").mapInPandas(add, "s int, n bigint").groupBy("s").agg(F.sum("n").alias("n"))
+    for r in counts.collect():  # one row per item shingle
         frequency[r["s"]] = r["n"]
     rare = prefixes(known, frequency)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        step = np.diff(known.offset)
         for b in batches:
-            ids, texts = b["d"].to_numpy(), b["t"].tolist()
-            out = []
-            row, place, s = known.hits(texts)
-            # every hit to the items that have the shingle
-            k = step[s] if len(s) else np.array([], dtype=np.int64)
-            entry = np.repeat(known.offset[s] if len(s) else s, k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-            row, place = np.repeat(row, k), np.repeat(place, k)
-            item, at = known.item[entry], known.at[entry]
-            pair = row * max(1, len(known.ids)) + item
-            # the prefix join
-            ok = np.isin(pair, np.unique(pair[rare[entry]]))
-            pair, item, place, at, row = pair[ok], item[ok], place[ok], at[ok], row[ok]
-            if len(pair):
-                by = np.lexsort((at, place, pair))
-                pair, item, place, at, row = pair[by], item[by], place[by], at[by], row[by]
-                # bound by position: a run's first shingle stands for three words, every other for one
-                far = np.int64(place.max() + WINDOW * known.length.max() + 2)
-                diagonal = (pair * far + place) * (known.at.max() + 2) + at
-                goes_on = np.isin(diagonal, diagonal + known.at.max() + 3)
-                total = np.cumsum(np.where(goes_on, 1, SHINGLE))
-                here = pair * far + place
-                last = np.searchsorted(here, here + WINDOW * known.length[item] - SHINGLE, side="right") - 1
-                # a window may start inside a run
-                most = total[last] - total + SHINGLE
-                good = np.unique(pair[most > known.length[item] * SHARE])
-                for g in good:
-                    lo, hi = np.searchsorted(pair, g), np.searchsorted(pair, g, side="right")
-                    length = int(known.length[item[lo]])
-                    w = passage(place[lo:hi], at[lo:hi], length)
-                    if w > length * SHARE:
-                        out.append((ids[row[lo]], known.ids[item[lo]], w, length))
+            each = [len(x) // 4 for x in b["s"]]
+            row = np.repeat(np.arange(len(b)), each)
+            place, s = (np.frombuffer(b"".join(b[c]), "<i4").astype(np.int64) for c in ("place", "s"))
+            ids = b["d"].to_numpy()
+            out = [(ids[r], known.ids[i], w, length) for r, i, w, length in _verified(known, rare, row, place, s)]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "words", "item_words"])
 
-    hits = docs.mapInPandas(find, "doc_id bigint, item_id bigint, words int, item_words int")
+    return hits.where("d is not null").mapInPandas(find, "doc_id bigint, item_id bigint, words int, item_words int")
+
+
+def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """`(doc_id, item_id, words, item_words)`: documents with a passage that repeats more than half of an item's
+    words. Null ids and null, empty and very short texts hold and are none; a document or item given twice counts
+    once (an item with the greater of its texts). Empty tables give no row.
+    """
+    rows = _rows(items, "item_id", "item_text")
+    docs = documents.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("d"), F.col(text).alias("t"))
+    blocks = max(1, -(-(rows.agg(F.sum(F.length("t"))).first()[0] or 0) // block_chars))
+    parts = []
+    for n in range(blocks):
+        mine = rows.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == n).orderBy("i").collect()
+        parts.append(_leaks(docs, make_items([(r["i"], r["t"]) for r in mine])))
+    hits = reduce(DataFrame.unionByName, parts)
     return hits.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"), F.first("item_words").alias("item_words"))
 
 

@@ -201,6 +201,27 @@ def test_leakage(spark):
     assert sorted(tuple(r) for r in leakage.found(d, e).collect()) == [(2, 1), (3, 1)]
     assert leakage.found(d.limit(0), e).count() == 0 and leakage.found(d, e.limit(0)).count() == 0
     assert [tuple(r) for r in leakage.report(d, e).collect()] == [(1, 2, 1.0)]
+    more = e.unionByName(spark.createDataFrame([(i, " ".join(filler[10 * i : 10 * i + 30])) for i in range(5, 12)], e.schema))
+    assert sorted(map(tuple, leakage.leaks(d, more, block_chars=200).collect())) == sorted(map(tuple, leakage.leaks(d, more).collect()))
+
+
+def test_the_longest_chain_is_that_of_brute_force():
+    rng = random.Random(8)
+    for _ in range(200):
+        n = rng.randint(3, 12)
+        hits = sorted({(rng.randint(0, 20), rng.randint(0, n - 3)) for _ in range(rng.randint(1, 9))})
+
+        def best(done):
+            p, a, words = done[-1]
+            on = [words]
+            for x, y in hits:
+                if x >= p + 3 and y >= a + 3:
+                    on.append(best([*done, (x, y, words + 3)]))
+                if 0 < x - p == y - a < 3:
+                    on.append(best([*done, (x, y, words + x - p)]))
+            return max(on)
+
+        assert leakage._chain([p for p, _ in hits], [a for _, a in hits], n) == max(best([(p, a, 3)]) for p, a in hits)
 
 
 @pytest.mark.parametrize("text, manner", [
