@@ -1,22 +1,29 @@
 """Problem 6: records that share most of their words, found by T-occurrence search.
 
-A record is the set of its words. Two sets r and s have a Jaccard similarity of t or more exactly when
-they share T = ceil(t / (1 + t) * (|r| + |s|)) words. With all words in one order, rarest first, such a
-pair shares a word among the first |r| - T + 1 of r and the first |s| - T + 1 of s. The lists of those
-rare words are the short lists: each is held, whole, in one cell, where the lists are merged; the long
-lists, those of the cell's frequent words, are probed only for the pairs that come out of the merge.
+A record is the set of its words, held as ranks in one order, rarest first. Two sets r and s have a Jaccard
+similarity of t or more exactly when they share T = ceil(t / (1 + t) * (|r| + |s|)) words. Divide and skip: of
+a record's inverted lists the L = ceil(t * |r|) - 1 longest are its long lists, the others its short ones. A
+pair shares a word in the short lists of both, so every record goes to the cells of its short words. There
+the lists of its other short words are merged, with the number of occurrences of each partner; a partner with
+fewer than T - L of them can't be one and is skipped. Only for those that remain the long lists are probed,
+by binary search, and a pair is kept when it reaches T.
+
 A cell never holds more than a bounded number of records: a list above the bound is laid out as blocks,
 and each pair of blocks is a cell of its own. No list, record or partner is left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import re
+import unicodedata
+from collections import Counter
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kronika.functions import text as T
@@ -25,20 +32,41 @@ from kronika.session import durable
 
 THRESHOLD = Fraction(3, 5)
 #: Records a cell holds about, and from which a list is laid out in blocks.
-CELL_ROWS = 40_000
-#: Pairs that are looked at at once.
-CHUNK = 1 << 17
-#: Long lists of a cell that are kept as bits: those probed first, and with the next longest.
-LONG_LISTS = (512, 4096)
-#: Groups of exact copies up to this size are written out as pairs; larger ones as representative and copy.
+CELL_ROWS = 100_000
+#: Counters of a merge that are open at once, and pairs that are probed at once.
+COUNTERS, PROBES = 1 << 19, 1 << 16
+#: Lists up to this length are not merged: their pairs are few.
+SHORT = 24
+#: Words whose ranks travel with the tasks; a larger vocabulary is joined.
+MAX_VOCABULARY = 1 << 20
+#: Groups of exact copies up to this size are written out as pairs.
 EXPAND_COPIES = 1_000
 
+_WORD = re.compile(r"[^\W_]+")
+
+
+def words_of(text: str | None) -> list[str]:
+    """Distinct runs of letters and digits, in lower case and without combining marks, sorted."""
+    t = (text or "").lower()
+    if not t.isascii():
+        t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    return sorted(set(_WORD.findall(t)))
+
+
+def texts_of(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """`(id, words)`, words being the text of the columns taken together."""
+    return df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.concat_ws(" ", *columns).alias("words"))
 
-def word_sets(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """`(id, words)`, the distinct words, sorted, of the columns taken together."""
-    text = T.normalize(F.concat_ws(" ", *columns))
-    found = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))))
-    return df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), found.alias("words")).dropDuplicates(["id"])
+
+def _sets(batch: pa.RecordBatch) -> list[list[str]]:
+    values = batch.column("words").to_pylist()
+    if pa.types.is_list(batch.schema.field("words").type):
+        return [sorted({x for x in v or () if x is not None}) for v in values]
+    return [words_of(v) for v in values]
+
+
+def _digest(words: list[str]) -> bytes:
+    return hashlib.blake2b("\n".join(words).encode(), digest_size=16).digest()
 
 
 def _needed(total: np.ndarray, t: Fraction) -> np.ndarray:
@@ -47,176 +75,285 @@ def _needed(total: np.ndarray, t: Fraction) -> np.ndarray:
     return -((-p * total) // q)
 
 
-def _popcount(a: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a).sum(axis=1, dtype=np.int32)
-
-
-def _search(table: pa.Table, t: Fraction, cells: int) -> Iterator[pa.RecordBatch]:
-    ids = table.column("id").to_numpy()
-    block = table.column("block").to_numpy()
-    hot = table.column("hot").to_numpy()[0]  # the list this cell is for, or 0 where it is for many
-    cross = table.column("cross").to_numpy()[0]
-    lists = table.column("ws").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    flat = lists.flatten().to_numpy()
-    size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-    order = np.lexsort((ids, size))  # by size, so that partners of fitting size lie together
-    start = np.concatenate(([0], np.cumsum(size)))[:-1]
-    n = len(ids)
-    rank_of = np.empty(n, dtype=np.int64)
-    rank_of[order] = np.arange(n)
-    owner = rank_of[np.repeat(np.arange(n), size)]
-    pos = np.arange(len(flat)) - np.repeat(start, size)
-    ids, block, size, start = ids[order], block[order], size[order], start[order]
-
-    # long lists as bits
-    words, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
-    slot = np.empty(len(words), dtype=np.int64)
-    slot[np.argsort(-count, kind="stable")] = np.arange(len(words))
-    slot = slot[inverse]
-    probes = []
-    for lists_kept in LONG_LISTS:
-        bits = np.zeros((n, lists_kept // 64), dtype=np.uint64)
-        has = slot < lists_kept
-        np.bitwise_or.at(bits, (owner[has], slot[has] // 64), np.uint64(1) << (slot[has] % 64).astype(np.uint64))
-        probes.append((bits, (size - _popcount(bits)).astype(np.int32)))
-
-    # short lists of this cell: words among the first of their record, as the longest partner allows
-    p, q = t.numerator, t.denominator
-    prefix = size - -((-p * size) // q) + 1
-    mine = pos < prefix[owner]
-    if hot:
-        mine &= flat == hot
-    else:  # hot words have cells of their own; words are in the order of their lists, so the cold ones come first
-        mine &= (pos < table.column("cold").to_numpy()[order][owner]) & (np.mod(flat, cells) == table.column("cell_no").to_numpy()[0])
-    word, rec, at = inverse[mine], owner[mine], pos[mine]
-    by = np.lexsort((rec, word))
-    word, rec, at = word[by], rec[by], at[by].astype(np.int32)
-    size32 = size.astype(np.int32)
-    edges = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else np.array([], dtype=int)
-    edges = np.append(edges, len(word))
-
-    out_a, out_b, out_n = [], [], []
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        r, a, w = rec[lo:hi], at[lo:hi], word[lo]
-        if hi - lo < 2:
-            continue
-        sizes = size32[r]  # ascending, as records are in the order of size
-        # partners i < j have sizes from t * size[j] up
-        first = np.searchsorted(sizes, -((-p * sizes) // q))
-        width = np.arange(len(r)) - first
-        done = 0
-        ends = np.cumsum(width)
-        while done < len(r):
-            upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + CHUNK, side="right")))
-            k = width[done:upto]
-            j = np.repeat(np.arange(done, upto), k)
-            if len(j):
-                i = first[j] + np.arange(len(j)) - np.repeat(np.cumsum(k) - k, k)
-                need = _needed(sizes[i] + sizes[j], t)
-                ok = np.minimum(sizes[i] - a[i], sizes[j] - a[j]) >= need
-                if cross:
-                    ok &= block[r[i]] != block[r[j]]
-                x, y, need = r[i[ok]], r[j[ok]], need[ok]
-                for bits, rest in probes:  # a pair goes as soon as the rest can't make up for what is missing
-                    ok = _popcount(bits[x] & bits[y]) + np.minimum(rest[x], rest[y]) >= need
-                    x, y, need = x[ok], y[ok], need[ok]
-                for u, v, m in zip(x, y, need):
-                    su = flat[start[u] : start[u] + size[u]]
-                    common = (su[:, None] == flat[start[v] : start[v] + size[v]]).any(axis=1)
-                    # the first common word names the one cell that reports the pair
-                    if (c := int(common.sum())) >= m and su[np.argmax(common)] == words[w]:
-                        out_a.append(min(ids[u], ids[v]))
-                        out_b.append(max(ids[u], ids[v]))
-                        out_n.append(c)
-            done = upto
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_n, pa.int32())], names=["a", "b", "common"]
+def _least(size: np.ndarray, t: Fraction) -> np.ndarray:
+    """Words that a record must share with any partner, and the least size of one."""
+    return -((-t.numerator * size) // t.denominator)
+
+
+def _ranges(lo: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """lo, lo + 1, ... of each range, one after another, and which range each number is of."""
+    which = np.repeat(np.arange(len(lo)), length)
+    return np.arange(len(which)) + (lo - (np.cumsum(length) - length))[which], which
+
+
+class _Cell:
+    """Records of one cell, by size; finds the pairs whose first common word is one of the cell's own."""
+
+    def __init__(self, ids: np.ndarray, block: np.ndarray, flat: np.ndarray, size: np.ndarray, t: Fraction) -> None:
+        by = np.lexsort((ids, size))
+        start = np.cumsum(size) - size
+        at, self.owner = _ranges(start[by], size[by])
+        self.flat, self.ids, self.block, self.size = flat[at], ids[by], block[by], size[by]
+        self.start = np.cumsum(self.size) - self.size
+        self.pos = np.arange(len(self.flat)) - self.start[self.owner]
+        self.words, self.number = np.unique(self.flat, return_inverse=True)
+        if len(self.words) < 1 << 16:
+            self.number = self.number.astype(np.uint16)  # sorted by radix
+        self.t, self.short = t, self.size - _least(self.size, t) + 1
+        # two parities of 64 buckets: each bucket that differs stands for a word that only one of two records has
+        mark = self.flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        self.marks = [np.bitwise_xor.reduceat(np.uint64(1) << ((mark >> np.uint64(s)) & np.uint64(63)), self.start) for s in (58, 40)] if len(by) else []
+
+    def possible(self, x: np.ndarray, y: np.ndarray, cross: bool) -> tuple[np.ndarray, np.ndarray]:
+        need = _needed(self.size[x] + self.size[y], self.t)
+        most = self.size[x] + self.size[y] - 2 * need
+        ok = np.ones(len(x), dtype=bool)
+        for m in self.marks:
+            ok &= np.bitwise_count(m[x] ^ m[y]) <= most
+        if cross:
+            ok &= self.block[x] != self.block[y]
+        return x[ok], y[ok]
+
+    def merged(self, rec: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of a list that occur together often enough in the short lists behind its word."""
+        m = len(rec)
+        size = self.size[rec]
+        least = _least(size, self.t)
+        first = np.searchsorted(size, least)  # the smallest partner
+        e, row = _ranges(self.start[rec] + at + 1, self.short[rec] - at - 1)
+        word = self.number[e]
+        by = np.argsort(word, kind="stable")
+        word, row = word[by], row[by]
+        key = word.astype(np.int64) * m + row
+        lo = np.searchsorted(key, word.astype(np.int64) * m + first[row])
+        by = np.argsort(row, kind="stable")  # by the record that asks
+        lo, length, asks = lo[by], by - lo[by], row[by]
+        edge = np.searchsorted(asks, np.arange(m + 1))
+        work = np.concatenate(([0], np.cumsum(length)))[edge]
+        q = 0
+        while q < m:
+            p = min(m, q + max(1, COUNTERS // m))
+            p = max(q + 1, min(p, int(np.searchsorted(work, work[q] + 4 * COUNTERS, side="right")) - 1))
+            a, b = edge[q], edge[p]
+            i, which = _ranges(lo[a:b], length[a:b])
+            count = np.bincount((asks[a:b][which] - q) * p + row[i], minlength=(p - q) * p).reshape(p - q, p)
+            cuts = [q, *(q + 1 + np.flatnonzero(np.diff(size[q:p]))).tolist(), p]
+            for u, v in zip(cuts[:-1], cuts[1:]):
+                # what the two share beyond short lists lies in the long lists of one of them; the larger has more
+                need = _needed(size[u] + size[:v], self.t) - least[u]
+                i, j = np.divmod(np.flatnonzero(count[u - q : v - q, :v] >= need), v)
+                i += u
+                ok = (j < i) & (j >= first[i])
+                yield rec[i[ok]], rec[j[ok]]
+            q = p
+
+    def candidates(self, own: np.ndarray, cross: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """`own`: which entries of short lists make up the lists of this cell."""
+        word, rec, at = self.number[own], self.owner[own], self.pos[own]
+        by = np.lexsort((rec, word))
+        word, rec, at = word[by], rec[by], at[by]
+        edge = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else np.array([], dtype=np.int64)
+        length = np.diff(np.append(edge, len(word)))
+        # lists of few records
+        few = (length > 1) & (length <= SHORT)
+        start, length_few = edge[few], length[few]
+        for lo in range(0, len(start), 4096):
+            e, which = _ranges(start[lo : lo + 4096], length_few[lo : lo + 4096])
+            j, i = _ranges(start[lo : lo + 4096][which], e - start[lo : lo + 4096][which])
+            i = e[i]
+            need = _needed(self.size[rec[i]] + self.size[rec[j]], self.t)
+            ok = np.minimum(self.size[rec[i]] - at[i], self.size[rec[j]] - at[j]) >= need
+            yield self.possible(rec[i[ok]], rec[j[ok]], cross)
+        for s, n in zip(edge[length > SHORT], length[length > SHORT]):
+            for x, y in self.merged(rec[s : s + n], at[s : s + n]):
+                if len(x):
+                    yield self.possible(x, y, cross)
+
+    def pairs(self, own: np.ndarray, mine: Callable[[np.ndarray], np.ndarray], cross: bool) -> Iterator[pa.RecordBatch]:
+        n = len(self.ids)
+        held, many = [], 0
+
+        def distinct() -> np.ndarray:
+            return np.unique(np.concatenate(held)) if held else np.array([], dtype=np.int64)
+
+        for x, y in self.candidates(own, cross):
+            held.append(x * n + y)
+            many += len(x)
+            if many > 64 * PROBES:
+                held = [distinct()]
+                many = 0
+        key = distinct()
+        for lo in range(0, len(key), PROBES):
+            x, y = key[lo : lo + PROBES] // n, key[lo : lo + PROBES] % n
+            i, a = _ranges(self.start[x], self.size[x])
+            j, b = _ranges(self.start[y], self.size[y])
+            v = len(self.words)
+            there, wanted = b * v + self.number[j], a * v + self.number[i]
+            k = np.searchsorted(there, wanted)
+            k[k == len(there)] = 0
+            hit = there[k] == wanted
+            common = np.bincount(a[hit], minlength=len(x))
+            first = np.full(len(x), -1, dtype=np.int64)
+            first[a[hit][::-1]] = self.flat[i[hit][::-1]]  # the first common word names the one cell that reports the pair
+            ok = (common >= _needed(self.size[x] + self.size[y], self.t)) & mine(first)
+            u, w = self.ids[x[ok]], self.ids[y[ok]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(u, w)), pa.array(np.maximum(u, w)), pa.array(common[ok].astype(np.int32))], names=["a", "b", "common"]
+            )
+
+
+def _search(table: pa.Table, t: Fraction, cells: int, hot_from: int, dtype: str) -> pa.Table:
+    column = lambda c: table.column(c).to_numpy()
+    hot, cell, other = (column(c)[0] for c in ("hot", "i", "j"))
+    raw = table.column("ws").combine_chunks()
+    raw = pa.concat_arrays(raw.chunks) if isinstance(raw, pa.ChunkedArray) else raw
+    data = raw.to_pylist()
+    size = np.array([len(x) for x in data], dtype=np.int64) // np.dtype(dtype).itemsize
+    c = _Cell(column("id"), column("block"), np.frombuffer(b"".join(data), dtype).astype(np.int64), size, t)
+    if hot >= 0:
+        mine = lambda w: w == hot
+    else:
+        mine = lambda w: (w >= 0) & (w < hot_from) & (w % cells == cell)
+    own = (c.pos < c.short[c.owner]) & mine(c.flat)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int32())])
+    return pa.Table.from_batches(list(c.pairs(own, mine, hot >= 0 and cell != other)), schema)
+
+
+_SPOTS = "id bigint, digest binary, ws binary, spots array<struct<hot:bigint,i:int,j:int,block:int>>"
+
+
+def _laid_out(ids: list[int], digests: list[bytes], ranks: list[np.ndarray], counts: list[np.ndarray], t: Fraction, cells: int, cell_rows: int, hot_from: int, dtype: str) -> pa.RecordBatch:
+    """Records with the cells of their short words; ranks ascending, counts the lengths of their lists."""
+    spots = []
+    for x, w, df in zip(ids, ranks, counts):
+        n = len(w)
+        k = n - int(_least(np.int64(n), t)) + 1
+        cold = [{"hot": -1, "i": int(c), "j": 0, "block": 0} for c in np.unique(w[:k][w[:k] < hot_from] % cells)]
+        h = int.from_bytes(hashlib.blake2b(x.to_bytes(8, "big", signed=True), digest_size=8).digest(), "big")
+        for word, d in zip(w[:k], df[:k]):
+            if word >= hot_from:
+                blocks = int(-(-d // cell_rows))
+                own = h % blocks
+                cold += [{"hot": int(word), "i": min(b, own), "j": max(b, own), "block": own} for b in range(blocks)]
+        spots.append(cold)
+    kind = pa.list_(pa.struct([("hot", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("block", pa.int32())]))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array([w.astype(dtype).tobytes() for w in ranks], pa.binary()), pa.array(spots, kind)],
+        names=["id", "digest", "ws", "spots"],
     )
 
 
-def similar_sets(sets: DataFrame, threshold: Fraction = THRESHOLD, cell_rows: int = CELL_ROWS) -> tuple[DataFrame, DataFrame]:
-    """`sets(id bigint, words array<string>)` to `(pairs, members)`.
+def similar_sets(
+    sets: DataFrame, threshold: Fraction = THRESHOLD, cell_rows: int = CELL_ROWS, max_vocabulary: int = MAX_VOCABULARY
+) -> tuple[DataFrame, DataFrame]:
+    """`sets(id bigint, words array<string> or string)` to `(pairs, members)`; a string is taken as a text.
 
-    members `(id, rep)`: every id and the smallest id with the very same set. pairs `(a, b, common)`:
-    representatives a < b whose sets have a Jaccard similarity of the threshold or more, exactly. Empty
-    and null sets are members of nothing. Words are compared by their 64-bit hash.
+    members `(id, rep, copies)`: every id, the smallest id with the very same set and how many have it. pairs
+    `(a, b, common)`: representatives a < b whose sets have a Jaccard similarity of the threshold or more, exactly.
+    Empty and null sets are members of nothing. An id given twice with different words keeps one of the sets, always
+    the same. The order of words is that of their frequency; up to `max_vocabulary` words it travels with the
+    tasks, beyond that it is joined.
     """
-    hashed = sets.where(F.size("words") > 0).select("id", F.array_sort(F.array_distinct(F.transform("words", lambda x: F.xxhash64(x)))).alias("ws"))
-    keyed = hashed.withColumn("key", F.sha2(F.array_join(F.transform("ws", lambda x: F.hex(x)), ","), 256))
-    rep = keyed.groupBy("key").agg(F.min("id").alias("rep"))
-    members = durable(keyed.join(rep, "key").select("id", "rep", F.when(F.col("id") == F.col("rep"), F.col("ws")).alias("ws")))
-    classes = members.where("ws is not null").select("id", "ws")
-    frequency = classes.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    ordered = (
-        classes.select("id", F.explode("ws").alias("w")).join(frequency, "w")
-        .groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("dw"))
-    )
-    total = members.where("ws is not null").count()
-    cells = max(8, -(-total * 8 // cell_rows))
-    p, q = threshold.numerator, threshold.denominator
-    n = F.size("dw")
-    prefix = F.slice("dw", 1, (n - F.ceil(n * p / F.lit(q)) + 1).cast("int"))
-    blocks = lambda x: F.ceil(x["df"] / F.lit(cell_rows)).cast("int")
-    own = lambda x: F.pmod(F.xxhash64("id"), blocks(x)).cast("int")
-    spot = "array<struct<hot:bigint,i:int,j:int>>"
-    cold = F.array_distinct(F.transform(
-        F.filter(prefix, lambda x: x["df"] <= cell_rows),
-        lambda x: F.struct(F.lit(0).cast("bigint"), F.pmod(x["w"], F.lit(cells)).cast("int"), F.lit(0)),
-    )).cast(spot)
-    hot = F.flatten(F.transform(
-        F.filter(prefix, lambda x: x["df"] > cell_rows),
-        lambda x: F.transform(
-            F.sequence(F.lit(0), blocks(x) - 1),
-            lambda k: F.struct(x["w"], F.least(k, own(x)).cast("int"), F.greatest(k, own(x)).cast("int")),
-        ),
-    )).cast(spot)
-    size_hot = F.try_element_at(F.filter("dw", lambda x: x["w"] == F.col("at.hot")), F.lit(1))["df"]
-    leading = F.size(F.filter("dw", lambda x: x["df"] <= cell_rows)).alias("cold")
-    spread = ordered.select("id", "dw", leading, F.explode(F.concat(cold, hot)).alias("at")).select(
-        "id", "cold", F.transform("dw", lambda x: x["w"]).alias("ws"), F.col("at.hot").alias("hot"),
-        F.col("at.i").alias("cell_no"), F.col("at.j").alias("j"),
-        ((F.col("at.hot") != 0) & (F.col("at.i") != F.col("at.j"))).alias("cross"),
-        F.when(F.col("at.hot") != 0, F.pmod(F.xxhash64("id"), F.ceil(size_hot / F.lit(cell_rows)))).otherwise(0).cast("int").alias("block"),
-    )
-
-    def search(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(_search(table, threshold, cells))
-
-    pairs = spread.groupBy("hot", "cell_no", "j").applyInArrow(search, "a bigint, b bigint, common int")
-    return pairs, members.select("id", "rep")
+    rows = sets.where("id is not null").select("id", "words")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = _sets(b)
+            ids, count = b.column("id").to_pylist(), Counter(w for x in words for w in x)
+            kept = [(i, _digest(w)) for i, w in zip(ids, words) if w]
+            n = len(count)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([i for i, _ in kept] + [None] * n, pa.int64()), pa.array([d for _, d in kept] + [None] * n, pa.binary()),
+                pa.array([None] * len(kept) + list(count), pa.string()), pa.array([0] * len(kept) + list(count.values()), pa.int64()),
+            ], names=["id", "digest", "word", "n"])
+
+    first = durable(rows.mapInArrow(read, "id bigint, digest binary, word string, n bigint"))
+    one = first.where("id is not null").groupBy("id").agg(F.min("digest").alias("digest"))
+    rep = one.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    members = durable(one.join(rep, "digest"))
+    classes = members.where("id = rep").select("id", "digest")
+    vocabulary = durable(first.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")))
+    spark = sets.sparkSession
+    cells = max(spark.sparkContext.defaultParallelism, -(-classes.count() * 8 // cell_rows))
+    known = vocabulary.count()
+    if known <= max_vocabulary:
+        order = sorted((r["n"], r["word"]) for r in vocabulary.collect())
+        rank = {w: i for i, (_, w) in enumerate(order)}
+        frequency = np.array([n for n, _ in order], dtype=np.int64)
+        hot_from, dtype = int(np.searchsorted(frequency, cell_rows, side="right")), "<u2" if known < 1 << 16 else "<u4"
+
+        def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                kept = [(i, w) for i, w in zip(b.column("id").to_pylist(), _sets(b)) if w]
+                ranks = [np.sort(np.array([rank[x] for x in w], dtype=np.int64)) for _, w in kept]
+                yield _laid_out([i for i, _ in kept], [_digest(w) for _, w in kept], ranks, [frequency[r] for r in ranks], threshold, cells, cell_rows, hot_from, dtype)
+
+        laid = rows.mapInArrow(lay, _SPOTS)
+    else:
+        # ids that ascend in the sorted order, whatever the number of words
+        ordered = durable(vocabulary.orderBy("n", "word").withColumn("rank", F.monotonically_increasing_id()))
+        hot_from, dtype = ordered.where(F.col("n") > cell_rows).agg(F.min("rank")).first()[0], "<u8"
+        hot_from = 1 << 62 if hot_from is None else hot_from
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                words = _sets(b)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("id"), pa.array([_digest(w) for w in words], pa.binary()), pa.array(words, pa.list_(pa.string()))], names=["id", "digest", "words"]
+                )
+
+        def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                pairs = [[(x["rank"], x["n"]) for x in w] for w in b.column("w").to_pylist()]
+                ranks, counts = [np.array([x for x, _ in p], dtype=np.int64) for p in pairs], [np.array([n for _, n in p], dtype=np.int64) for p in pairs]
+                yield _laid_out(b.column("id").to_pylist(), b.column("digest").to_pylist(), ranks, counts, threshold, cells, cell_rows, hot_from, dtype)
+
+        words = rows.mapInArrow(cut, "id bigint, digest binary, words array<string>").select("id", "digest", F.explode("words").alias("word"))
+        ranked = words.join(ordered, "word").groupBy("id", "digest").agg(F.array_sort(F.collect_set(F.struct("rank", "n"))).alias("w"))
+        laid = ranked.mapInArrow(lay, _SPOTS)
+    # copies of a set that came with the same id are one row
+    placed = laid.join(classes, ["id", "digest"], "left_semi").groupBy("id").agg(F.first("ws").alias("ws"), F.first("spots").alias("spots"))
+    spread = placed.select("id", "ws", F.explode("spots").alias("s")).select("id", "ws", "s.hot", "s.i", "s.j", "s.block")
+    pairs = spread.groupBy("hot", "i", "j").applyInArrow(lambda t: _search(t, threshold, cells, hot_from, dtype), "a bigint, b bigint, common int")
+    return pairs, members.select("id", "rep", "copies")
 
 
 def _filled(movements: DataFrame) -> DataFrame:
-    return movements.where(T.strip(F.col("notes")) != "")
+    return texts_of(movements.where(T.strip(F.col("notes")) != ""), "movement_id", ["place", "operation", "notes"])
 
 
 def near_pairs(movements: DataFrame, threshold: Fraction = THRESHOLD, expand: int = EXPAND_COPIES) -> DataFrame:
     """`(movement_id_a, movement_id_b)`, the smaller id first, of movements with notes whose place,
     operation and notes share 60 % of their words. Movements without notes (null, empty, blank) are left
-    out; a movement given twice counts once. Groups of more than `expand` exact copies stay one node:
-    their pairs are those of the representative, and (representative, copy) for each copy.
+    out; a movement given twice counts once. A group of more than `expand` exact copies stands in the pairs
+    by its smallest id only; `classes` tells the copies.
     """
-    pairs, members = similar_sets(word_sets(_filled(movements), "movement_id", ["place", "operation", "notes"]), threshold)
-    size = members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    m = members.join(size, "rep", "left").withColumn("node", (F.col("copies") <= expand) | F.col("copies").isNull() | (F.col("id") == F.col("rep")))
-    nodes = durable(m)
-    expanded = nodes.where("node").select("id", "rep")
-    between = (
-        pairs.join(expanded.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a")
-        .join(expanded.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
-    )
-    several = expanded.join(size.where(F.col("copies") <= expand).select("rep"), "rep")
+    pairs, members = similar_sets(_filled(movements), threshold)
+    pairs = durable(pairs.select("a", "b"))
+    nodes = members.where((F.col("copies") <= expand) | (F.col("id") == F.col("rep"))).select("id", "rep", "copies")
+    several = nodes.where("copies > 1").select("id", "rep")
+    # most records are alone in their class
+    others = several.where("id <> rep")
+    with_a = pairs.join(others.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").select("x", "b")
+    left = pairs.select(F.col("a").alias("x"), "b").unionByName(with_a)
+    between = left.select("x", F.col("b").alias("y")).unionByName(left.join(others.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b").select("x", "y"))
     inside = several.select("rep", F.col("id").alias("x")).join(several.select("rep", F.col("id").alias("y")), "rep").where("x < y")
-    stars = nodes.where(~F.col("node")).select(F.col("rep").alias("x"), F.col("id").alias("y"))
-    every = between.unionByName(inside.select("x", "y")).unionByName(stars)
+    every = between.unionByName(inside.select("x", "y"))
     return every.select(F.least("x", "y").alias("movement_id_a"), F.greatest("x", "y").alias("movement_id_b"))
 
 
+def classes(movements: DataFrame, expand: int = EXPAND_COPIES) -> DataFrame:
+    """`(movement_id, class_id, copies, written_out)` of every movement with notes: the smallest id with the very same
+    words, how many have them, and whether `near_pairs` has a row for each pair of them (else they are as near to
+    each other, and to the partners of class_id, as class_id is)."""
+    _, members = similar_sets(_filled(movements))
+    return members.select(F.col("id").alias("movement_id"), F.col("rep").alias("class_id"), "copies", (F.col("copies") <= expand).alias("written_out"))
+
+
 def near_groups(movements: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
     """One row per movement with notes: `(movement_id, group_id, links)`. group_id is the smallest id of
     all records linked, directly or over others; links counts the different texts it is linked to."""
-    pairs, members = similar_sets(word_sets(_filled(movements), "movement_id", ["place", "operation", "notes"]), threshold)
+    pairs, members = similar_sets(_filled(movements), threshold)
     pairs = durable(pairs)
     both = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a")))
     links = both.groupBy(F.col("a").alias("rep")).agg(F.count(F.lit(1)).alias("links"))

@@ -31,6 +31,7 @@ def queries() -> dict[str, Query]:
         "p5_found": lambda s, d: survivors.survivors(t(s, d, "movements")),
         "p5_best": lambda s, d: survivors.build_best(t(s, d, "movements")),
         "p6_found": lambda s, d: near_records.near_pairs(t(s, d, "movements")),
+        "p6_classes": lambda s, d: near_records.classes(t(s, d, "movements")),
         "p6_groups": lambda s, d: near_records.near_groups(t(s, d, "movements")),
         "p7_windows": lambda s, d: packing.windows(t(s, d, "documents")),
         "p7_report": lambda s, d: packing.window_report(t(s, d, "documents")),

@@ -124,8 +124,8 @@ def test_dates(spark):
     assert {r.d: tuple(r.p) for r in df.select("d", survivors.parse_date(F.col("d")).alias("p")).collect()} == cases
 
 
-@pytest.mark.parametrize("cell_rows", [40_000, 15])
-def test_near_records_are_those_of_all_pairs(spark, cell_rows):
+@pytest.mark.parametrize("cell_rows, vocabulary, spread", [(100_000, 1000, 4), (15, 1000, 4), (15, 1, 4), (100_000, 1000, 1)])
+def test_near_records_are_those_of_all_pairs(spark, cell_rows, vocabulary, spread):
     rng = random.Random(7)
     base = [rng.sample(WORDS, rng.randint(3, 14)) for _ in range(25)]
     sets = []
@@ -133,10 +133,10 @@ def test_near_records_are_those_of_all_pairs(spark, cell_rows):
         w = list(rng.choice(base))
         for _ in range(rng.randint(0, 4)):
             w[rng.randrange(len(w))] = rng.choice(WORDS + ["a", "b", "c"])
-        sets.append((i, sorted(set(w))))
+        sets.append((i, sorted({x + "q" * rng.randrange(spread) for x in w})))
     sets += [(900, []), (901, None), (902, sets[0][1]), (902, sets[0][1])]
     df = spark.createDataFrame(sets, "id bigint, words array<string>").dropDuplicates(["id"])
-    pairs, members = near_records.similar_sets(df, cell_rows=cell_rows)
+    pairs, members = near_records.similar_sets(df, cell_rows=cell_rows, max_vocabulary=vocabulary)
     rep = {r.id: r.rep for r in members.collect()}
     kept = {i: frozenset(w) for i, w in sets if w}
     assert rep == {i: min(j for j in kept if kept[j] == kept[i]) for i in kept}
@@ -152,11 +152,22 @@ def test_a_hot_word_reports_its_pairs_once_beside_cold_words(spark):
     assert pairs.count() == pairs.distinct().count() == 30 * 29 // 2
 
 
+def test_sets_of_any_size_are_compared(spark):
+    rng = random.Random(17)
+    sets = [(i, sorted({f"w{rng.randrange(30)}" for _ in range(n)})) for i, n in enumerate([1, 2, 3, 5, 8, 13, 21, 40, 80] * 30)]
+    kept = {}
+    for i, w in sets:
+        kept.setdefault(frozenset(w), i)
+    got = {(r.a, r.b, r.common) for r in near_records.similar_sets(spark.createDataFrame(sets, "id bigint, words array<string>"))[0].collect()}
+    assert got == {(i, j, len(a & b)) for a, i in kept.items() for b, j in kept.items() if i < j and 5 * len(a & b) >= 3 * len(a | b)}
+
+
 def test_near_pairs(spark):
     rows = [movement(1, notes="vod je prešao most"), movement(2, notes="Vod je prešao MOST!"), movement(3, notes="vod je presao most prije"), movement(4, notes=None), movement(5, notes=" "), movement(6, notes="nešto drugo " * 9, place="x", op="y"), movement(6, notes="nešto drugo " * 9, place="x", op="y")]
     df = spark.createDataFrame(rows, MOVEMENT)
     assert sorted(tuple(r) for r in near_records.near_pairs(df).collect()) == [(1, 2), (1, 3), (2, 3)]
-    assert sorted(tuple(r) for r in near_records.near_pairs(df, expand=1).collect()) == [(1, 2), (1, 3)]
+    assert sorted(tuple(r) for r in near_records.near_pairs(df, expand=1).collect()) == [(1, 3)]
+    assert sorted(tuple(r) for r in near_records.classes(df, expand=1).collect()) == [(1, 1, 2, False), (2, 1, 2, False), (3, 3, 1, True), (6, 6, 1, True)]
     assert {r.movement_id: (r.group_id, r.links) for r in near_records.near_groups(df).collect()} == {1: (1, 1), 2: (1, 1), 3: (1, 1), 6: (6, 0)}
     assert near_records.near_pairs(df.limit(0)).count() == 0
 
