@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -36,15 +37,14 @@ LOSSY = ["?", "�", "�+"]
 _SEPARATORS = r"[\x00-\x20/\\_().,;:+\-&\"'!\[\]0-9]+"
 
 
+@cache
+def _table(encoding: str) -> dict[int, str]:
+    """What each byte is read as. Bytes an encoding does not define stay as control characters, as lenient readers leave them."""
+    return {b: bytes([b]).decode(encoding, "ignore") or chr(b) for b in range(256)}
+
+
 def _read(data: bytes, encoding: str) -> str:
-    """Bytes an encoding does not define stay as control characters, as lenient readers leave them."""
-    out = []
-    for b in data:
-        try:
-            out.append(bytes([b]).decode(encoding))
-        except UnicodeDecodeError:
-            out.append(chr(b))
-    return "".join(out)
+    return data.decode("latin-1").translate(_table(encoding))
 
 
 def garble(word: str) -> dict[str, str]:
@@ -109,7 +109,9 @@ def garbled_forms(words: DataFrame) -> DataFrame:
 
     marks = words.sparkSession.createDataFrame([(m, 1, True) for m in MARKS], "word string, n bigint, in_texts boolean")
     schema = "form string, word string, chain string, n bigint, in_texts boolean, variant boolean"
-    return words.where(clean(F.col("word"))).unionByName(marks).mapInPandas(run, schema)
+    # few words make many forms: spread them evenly, whatever files or counts they come from
+    spread = words.where(clean(F.col("word"))).unionByName(marks).repartition(words.sparkSession.sparkContext.defaultParallelism * 2, "word")
+    return spread.mapInPandas(run, schema)
 
 
 def _long(metadata: DataFrame, fields: list[str]) -> DataFrame:
@@ -157,7 +159,8 @@ def damaged_words(metadata: DataFrame, corpus: list[tuple[DataFrame, str]], fiel
     ))
     # of two words that could each be the garbled form of the other, the one with the rarer letters is the form
     likely = F.col("in_texts") | F.coalesce(rarest(F.col("word")) > rarest(F.col("token")), F.lit(True))
-    best = (
+    suspects = durable(suspects)
+    best = durable(
         suspects.join(garbled_forms(words), F.col("token") == F.col("form")).where(likely)
         .groupBy("token").agg(F.min_by(F.struct("word", "chain"), F.struct((-F.col("n")).alias("n"), "variant", "chain", "word")).alias("hit"))
     )
