@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kronika.functions import text as T
 from kronika.llm.components import components
+from kronika.session import durable
 
 # Month names as they are written in dates.
 MONTHS = [
@@ -54,19 +55,23 @@ def plain(text: Column) -> Column:
     return F.regexp_replace(s, T.WS + "+", "")
 
 
-def _scored(movements: DataFrame, region: tuple[float, float, float, float]) -> DataFrame:
+def _scored(movements: DataFrame, region: tuple[float, float, float, float], more: tuple[str, ...] = ()) -> DataFrame:
+    """Each movement once, kept: `key` is what records of one action agree in, null where a part of it is missing. Of
+    rows with one movement_id the greatest in the order of these columns is kept."""
     a, b, c, d = region
     point = F.col("coordinates")
     good = point["lat"].between(a, b) & point["lng"].between(c, d)
-    return movements.select(
-        "movement_id", "book", "stage", "extracted_at", "date", "place", "operation", "division", "notes", "coordinates",
-        plain(F.col("place")).alias("p"), plain(F.col("operation")).alias("o"), parse_date(F.col("date")).alias("day"),
+    place, operation = plain(F.col("place")), plain(F.col("operation"))
+    key = F.when(F.col("book").isNotNull() & (F.col("p") != "") & (F.col("o") != ""), F.unhex(F.md5(F.concat_ws("\0", "book", "p", "o"))))
+    rows = movements.where("movement_id is not null").withColumns({"p": place, "o": operation}).select(
+        F.col("movement_id").cast("bigint").alias("movement_id"), key.alias("key"), "extracted_at", parse_date(F.col("date")).alias("day"),
         F.array_distinct(F.filter(F.coalesce("source_chunk_ids", F.array().cast("array<int>")), lambda x: x.isNotNull())).alias("chunks"),
-        F.coalesce(good, F.lit(False)).alias("good_point"),
-    ).where("movement_id is not null").dropDuplicates(["movement_id"])
+        F.coalesce(good, F.lit(False)).alias("good_point"), *more,
+    )
+    return durable(rows.groupBy("movement_id").agg(F.max(F.struct(*rows.columns[1:])).alias("x")).select("movement_id", "x.*"))
 
 
-def link_groups(movements: DataFrame, region: tuple[float, float, float, float] = REGION) -> DataFrame:
+def link_groups(scored: DataFrame) -> DataFrame:
     """`(movement_id, group_id)` of every movement that has at least one other record of the same action.
 
     Records of one book, place, operation and chunk are first gathered by date: those of one date form
@@ -75,9 +80,8 @@ def link_groups(movements: DataFrame, region: tuple[float, float, float, float]
     kind are all there is, as two full days are the same or contradict each other. Components of the
     links are the groups. Records without book, place, operation or chunks are linked to nothing.
     """
-    m = _scored(movements, region).where("book is not null and p <> '' and o <> ''")
-    spread = m.select("movement_id", "book", "p", "o", "day", F.explode("chunks").alias("chunk"))
-    key = ["book", "p", "o", "chunk"]
+    spread = scored.where("key is not null").select("movement_id", "key", "day", F.explode("chunks").alias("chunk"))
+    key = ["key", "chunk"]
     node = spread.groupBy(*key, "day").agg(F.min("movement_id").alias("head"))
     star = spread.join(node, [*key, "day"]).where("movement_id <> head").select(
         F.col("movement_id").alias("a"), F.col("head").alias("b")
@@ -99,7 +103,7 @@ def rank_records(movements: DataFrame, region: tuple[float, float, float, float]
     of sources, recency and id, in this order, so that no tie is left. Null extracted_at ranks last."""
     m = _scored(movements, region)
     full = F.col("day.d").isNotNull().cast("int") + F.col("good_point").cast("int")
-    joined = link_groups(movements, region).join(m, "movement_id").withColumns({"points": full, "n_chunks": F.size("chunks")})
+    joined = link_groups(m).join(m, "movement_id").select("movement_id", "group_id", "extracted_at", full.alias("points"), F.size("chunks").alias("n_chunks"))
     order = Window.partitionBy("group_id").orderBy(
         F.desc("points"), F.desc("n_chunks"), F.desc_nulls_last("extracted_at"), F.asc("movement_id")
     )
@@ -119,7 +123,8 @@ def build_best(movements: DataFrame) -> DataFrame:
     empty values last; source_chunk_ids: all of the group, sorted. Aggregates only, partly done before
     the shuffle; ties end with the smallest movement_id.
     """
-    m = link_groups(movements).join(_scored(movements, REGION), "movement_id")
+    scored = _scored(movements, REGION, ("book", "stage", "date", "place", "operation", "division", "notes", "coordinates"))
+    m = link_groups(scored).join(scored, "movement_id")
     trust = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in STAGES]), F.col("stage")), F.lit(0))
     recent = F.coalesce(F.col("extracted_at").cast("timestamp_ltz").cast("double"), F.lit(0.0))
     tail = [trust.alias("t"), recent.alias("r"), (-F.col("movement_id")).alias("i")]
