@@ -17,9 +17,14 @@ def plain_normalize(text: str | None) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text or "") if not unicodedata.combining(c)).lower()
 
 
+def plain_ratio(left: str, right: str) -> float:
+    """Of texts as they stand."""
+    return SequenceMatcher(None, left, right).ratio()
+
+
 def ratio(left: str | None, right: str | None) -> float:
     """Of normalised texts; two empty ones are alike. The order of the arguments matters for long texts."""
-    return SequenceMatcher(None, plain_normalize(left), plain_normalize(right)).ratio()
+    return plain_ratio(plain_normalize(left), plain_normalize(right))
 
 
 def text_similarity(left: Column, right: Column) -> Column:

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kronika.functions import text as T
+from kronika.operators.order import chunk_once, preceded
 
 MIN_WORDS, OVERLAP = 200, 120
 
 
 def _once(chunks: DataFrame) -> DataFrame:
     """A chunk loaded twice is one chunk."""
-    return chunks.select("book", "chunk_id", "text", "word_count").dropDuplicates(["book", "chunk_id"])
+    return chunk_once(chunks).select("book", "chunk_id", "text", "word_count")
 
 
 def summary(chunks: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -29,9 +30,8 @@ def summary(chunks: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def gaps(chunks: DataFrame) -> DataFrame:
     """`(book, expected, actual)` where an id does not follow the one before; the count goes on from the actual id."""
-    w = Window.partitionBy("book").orderBy("chunk_id")
-    ids = _once(chunks).select("book", "chunk_id")
-    return ids.withColumn("expected", F.lag("chunk_id", 1, 0).over(w) + 1).where("expected <> chunk_id").select(
+    ids = preceded(chunks.where("chunk_id is not null").select("book", "chunk_id").distinct(), ["book"], "chunk_id", ["chunk_id"], "before")
+    return ids.withColumn("expected", F.coalesce("before.chunk_id", F.lit(0)) + 1).where("expected <> chunk_id").select(
         "book", "expected", F.col("chunk_id").alias("actual")
     )
 
@@ -39,10 +39,10 @@ def gaps(chunks: DataFrame) -> DataFrame:
 def overlap_breaks(chunks: DataFrame, expected: int = OVERLAP) -> DataFrame:
     """`(book, previous_id, chunk_id, compared, shorter)` where the last words of a chunk are not the first ones of
     the next. Only the words that are compared go through the window."""
-    c = _once(chunks).select("book", "chunk_id", T.words(F.col("text")).alias("w"))
+    c = _once(chunks).where("chunk_id is not null").select("book", "chunk_id", T.words(F.col("text")).alias("w"))
     c = c.select("book", "chunk_id", F.size("w").alias("n"), F.slice("w", 1, expected).alias("head"), F.slice("w", F.greatest(F.size("w") - expected + 1, F.lit(1)), expected).alias("tail"))
-    w = Window.partitionBy("book").orderBy("chunk_id")
-    c = c.withColumns({"pid": F.lag("chunk_id").over(w), "pn": F.lag("n").over(w), "ptail": F.lag("tail").over(w)})
+    c = preceded(c, ["book"], "chunk_id", ["chunk_id", "n", "tail"], "before")
+    c = c.withColumns({"pid": F.col("before.chunk_id"), "pn": F.col("before.n"), "ptail": F.col("before.tail")})
     m = F.least(F.lit(expected), "n", "pn")
     c = c.where("pid is not null").withColumn("compared", m).where("compared > 0")
     last = F.slice("ptail", F.size("ptail") - F.col("compared") + 1, F.col("compared"))

@@ -192,7 +192,9 @@ def _strip(x: str) -> str:
 
 
 _CHUNKS = "SELECT DISTINCT ON (book, chunk_id, text) book, chunk_id, source_pages, text, word_count FROM chunks"
-_ONCE = "SELECT DISTINCT ON (book, chunk_id) book, chunk_id, source_pages, text, word_count FROM chunks"
+_ONCE = """SELECT book, chunk_id, x.source_pages AS source_pages, x.text AS text, x.word_count AS word_count FROM (
+    SELECT book, chunk_id, arg_max({'source_pages': source_pages, 'text': text, 'word_count': word_count},
+        (coalesce(text, ''), coalesce(word_count, -1), coalesce(array_to_string(source_pages, ','), ''))) AS x FROM chunks GROUP BY book, chunk_id)"""
 
 
 def _clip(x: str, limit: int) -> str:

@@ -1,6 +1,8 @@
 import json
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from kronika.models import ScriptedLLM
@@ -8,6 +10,8 @@ from kronika.operators import events as E
 from kronika.plans import campaign
 from kronika.sources import files as S
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the stand-ins below go to the workers
+
 
 def event(ord_, date="1943-12-01", place="Brač", op="Assault on Selca", notes="", div="", lat=None, lng=None, ids=(), pages=(), book="b"):
     return (book, ord_, date, place, (lat, lng), op, div, notes, list(ids), list(pages))
@@ -38,7 +42,7 @@ def test_fold_by_day_is_the_fold_over_all(spark):
     rows = [event(i, f"1943-12-0{rng.randint(1, 3)}", rng.choice(["Brač", "Otok Brač", "Vis", "Mostar"]), rng.choice(["Assault on Selca", "Raid on port", "Napad na selo", "Staff meeting"]), rng.choice(["", "x", "casualties"])) for i in range(60)]
     merged = E.exact_merge(table(spark, rows))
     got = sorted((r.date, r.operation, r.place, r.notes) for r in E.sequential_merge(merged).collect())
-    order = [r.asDict(recursive=True) for r in E.with_priority(merged).orderBy("date", "_k", "place", "operation", "ord").collect()]
+    order = [r.asDict(recursive=True) for r in E.with_areas(E.with_priority(merged)).orderBy("date", "_k", "place", "operation", "ord").collect()]
     out = [order[0]]
     for e in order[1:]:
         if E.mergeable(out[-1], e):
@@ -61,36 +65,114 @@ def test_groups(spark):
     assert sorted((x["book"], x["count"]) for x in g) == [("b", 1), ("b", 6), ("c", 1)]
 
 
-def test_extraction_resumes_repairs_and_records_failures(spark, tmp_path):
+GOOD = json.dumps({"movements": [{"date": "1943-12-01", "place": "Vis", "operation": "Assault on port", "source_chunk_ids": [1]}], "notes": ["n", " "]})
+
+
+class Careless:
+    """Gives JSON for the last batch and for repairs only."""
+
+    def generate(self, system, user, max_tokens=1600):
+        return GOOD if "text 9" in user or user.endswith("bad") else "bad"
+
+
+def never():
+    raise AssertionError("asked again")
+
+
+def test_extraction_repairs_and_resumes(spark, tmp_path):
     chunks = spark.createDataFrame([("b", i, [i], f"text {i}", 2) for i in range(1, 10)], S.CHUNKS)
-    good = json.dumps({"movements": [{"date": "1943-12-01", "place": "Vis", "operation": "Assault on port", "source_chunk_ids": [1]}], "notes": ["n", " "]})
     out = str(tmp_path / "raw")
-    raw = campaign.extract(chunks, out, lambda: ScriptedLLM("bad", "bad", good), parallel=1)
-    assert sorted((r.batch_id, r.repair_attempts, r.error) for r in raw.collect()) == [(1, 2, None), (2, 0, None)]
+    with pytest.raises(campaign.UnreadableAnswers) as failed:
+        campaign.extract(chunks, out, lambda: ScriptedLLM("bad"), parallel=1)
+    assert failed.value.number == 2
+    # bad first, readable after one repair on the next run; what was bad is kept
+    raw = campaign.extract(chunks, out, Careless, parallel=1, wave=10)
+    assert sorted((r.batch_id, r.repair_attempts, r.error) for r in raw.collect()) == [(1, 1, None), (2, 0, None)]
+    assert spark.read.parquet(out + "/raw").where("raw_response = 'bad'").count() == 7
+    assert campaign.extract(chunks, out, never).count() == 2
+    doc = campaign.consolidate(campaign.extracted(spark, out), {"brigade_name": "x"}, "label").first()
+    assert (doc.brigade_name, doc.notes, doc.source, len(doc.movements)) == ("x", "n | n", "label", 1)
+    # another size is another question
+    with pytest.raises(Exception, match="asked again"):
+        campaign.extract(chunks, out, never, size=3)
 
-    def none():
-        raise AssertionError("asked again")
 
-    assert campaign.extract(chunks, out, none).count() == 2
-    doc = campaign.consolidate(spark.read.parquet(out), {"brigade_name": "x"}, "label").first()
-    assert (doc.brigade_name, doc.notes, doc.source, len(doc.movements)) == ("x", "n | n", "label", 1)
-    with pytest.raises(ValueError):
-        campaign.read_object("nothing")
-    assert campaign.ask(ScriptedLLM("bad"), "", "", 1, 2)[2:] == (2, "no JSON object in the answer")
+class Dying:
+    """Answers once in each task, then its task dies."""
+
+    calls = 0
+
+    def generate(self, system, user, max_tokens=1600):
+        self.calls += 1
+        if "text 5" in user:
+            raise RuntimeError("lost")
+        return GOOD
+
+
+def test_a_lost_job_keeps_the_waves_before(spark, tmp_path):
+    chunks = spark.createDataFrame([("b", i, [i], f"text {i}", 2) for i in range(1, 10)], S.CHUNKS)
+    out = str(tmp_path / "raw")
+    with pytest.raises(Exception, match="lost"):
+        campaign.extract(chunks, out, Dying, size=1, parallel=1, wave=1)
+    kept = campaign._raw(spark, out).count()
+    assert campaign.extract(chunks, out, lambda: ScriptedLLM(GOOD), size=1, parallel=1).where("payload is not null").count() == 9
+    assert campaign._raw(spark, out).count() == 9 and 0 < kept < 9
+
+
+def test_prompts_hold_braces_and_names(spark):
+    df = spark.createDataFrame([('{"a": 1} {x}', None)], "t string, n string")
+    assert df.select(campaign._filled('{name}: {{"k": [{text}]}}.', name=F.col("n"), text=F.col("t"))).first()[0] == ': {"k": [{"a": 1} {x}]}.'
 
 
 def test_verification_and_polish(spark, tmp_path):
     rows = [event(1, op="Assault on Selca", notes="a"), event(2, op="Assault on the harbour of Selca", notes="b"), event(3, "1950-01-01", "Zadar", "Raid on town", "q")]
     good = json.dumps({"movements": [{"date": "1943-12-01", "place": "Brač", "operation": "Assault on Selca"}], "notes": []})
-    v = campaign.verify(table(spark, rows), str(tmp_path / "v"), lambda: ScriptedLLM(good), parallel=1)
+    out = str(tmp_path / "v")
+    with pytest.raises(campaign.UnreadableAnswers):
+        campaign.verify(table(spark, rows), out, lambda: ScriptedLLM("bad"), parallel=1)
+    v = campaign.verify(table(spark, rows), out, lambda: ScriptedLLM(good), parallel=1)
     assert sorted((len(r.input_events), r.raw_response is None) for r in v.collect()) == [(1, True), (2, False)]
     doc = campaign.consolidate(v, filtered=True).first()
     assert [m.operation for m in doc.movements] == ["Assault on Selca", "Raid on town"]
-    answer = json.dumps({"movements": [{"index": 2, "operation": "Short", "notes": "Fine. Date estimated."}]})
-    p = {r.ord: r for r in campaign.polish(table(spark, rows), lambda: ScriptedLLM(answer), parallel=1).collect()}
+    assert campaign.verify(table(spark, rows), out, never).count() == 2
+    assert campaign.verify(table(spark, rows), out, never, size=1).count() == 3
+    answer = json.dumps({"events": [{"index": 2, "operation": "Short", "notes": "Fine. Date estimated."}]})
+    p = {r.ord: r for r in campaign.polish(table(spark, rows), str(tmp_path / "p"), lambda: ScriptedLLM(answer), parallel=1).collect()}
     assert len(p) == 3 and p[2].operation == "Short" and p[2].notes == "Fine." and p[1].operation == "Assault on Selca"
 
 
+def test_groups_are_those_of_one_pass_in_order(spark):
+    import random
+
+    rng = random.Random(12)
+    rows = [
+        event(i, f"1943-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", rng.choice(["Brač", "Otok Brač", "Vis", "Mostar", "Zadar", ""]), rng.choice(["Assault on Selca", "Raid on port", "Napad na selo", "Ambush"]), rng.choice(["", "x"]), book=rng.choice("bbbc"))
+        for i in range(150)
+    ]
+    e = table(spark, rows)
+    order = [r.asDict(recursive=True) for r in E.with_areas(e).orderBy("book", "date", "place", "operation", "ord").collect()]
+    want, group, n = {}, [], 0
+    for k, r in enumerate(order):
+        if k and order[k - 1]["book"] != r["book"] or not k:
+            group, n = [], 1
+        around = [x for x in order[max(k - 1, 0) : k] + order[k + 1 : k + 2] if x["book"] == r["book"]]
+        if group and (len(group) >= 6 or not any(E.related(r, x) for x in group + around)):
+            group, n = [], n + 1
+        group.append(r)
+        want[r["ord"]] = n
+    assert {r.ord: r.group_id for r in E.verification_groups(e).collect()} == want
+
+
+def test_order_over_spans(spark):
+    from kronika.operators import order as O
+
+    df = spark.createDataFrame([("a", i * i, i) for i in range(40)] + [("b", 5, 1), (None, 1, 7)], "k string, o int, v int")
+    r = O.running(O.numbered(df, ["k"], "o", "n", 50), ["k"], "o", F.col("v"), "s", 50)
+    assert {(x.o, x.n, x.s) for x in r.where("k = 'a'").collect()} == {(i * i, i, i * (i - 1) // 2) for i in range(40)}
+    p = O.preceded(df, ["k"], "o", ["o", "v"], "p", 50)
+    assert {(x.o, x.p and x.p.v) for x in p.where("k = 'a'").collect()} == {(i * i, i - 1 if i else None) for i in range(40)}
+
+
 def test_batches(spark):
     df = spark.createDataFrame([("b", i, [2, 1], "t", 1) for i in range(1, 10)] + [("b", 1, [2, 1], "t", 1)], S.CHUNKS)
     r = E.batches(df).orderBy("batch_id").collect()
