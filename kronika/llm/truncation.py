@@ -1,9 +1,8 @@
 """Problem 9: texts cut off by a field limit or a broken transfer.
 
 Near-copies are found by min-hash banding and verified; where the text of one ends while its copy goes on
-inside the word or sentence, it is cut. Texts without such a copy are judged by how they close: whether
-the closing word is one the corpus knows whole and lets sentences end with, in the manner of the text
-itself (sentences, lines without marks, list rows, telegram, signature).
+inside the word or sentence, it is cut. Texts without such a copy are scored by how they close: a model learnt
+from the corpus weighs the closing word, by what the corpus says of it, in the manner of the text (see `terminality`).
 """
 
 from __future__ import annotations
@@ -18,106 +17,35 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kronika.llm.terminality import Terminality, closing_words, stopped, traits, with_word
 from kronika.session import durable
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Bands of rows: two texts of a similarity of 0.8 share a band with a chance of 0.9998.
 BANDS, ROWS = 16, 4
-#: Share of a word's uses that end a sentence, from which it can close a text.
-CLOSES = 0.03
-#: Uses below which that share says nothing.
-FEW = 20
-#: A length is a limit of its source where that share of its texts, and at least so many, have it.
-LIMIT_SHARE, LIMIT_ROWS = 0.03, 3
-
-# What is put under a finished text.
-CLOSERS = {"stop", "kraj", "ende", "fine", "end", "nečitak"}
+#: Documents the model of endings is fitted on, about; all others are scored by it.
+SAMPLE = 12_000
+#: Score from which a text is cut, and from which its ending is open.
+CUT, OPEN = 1.5, -1.0
+#: A length is a limit of its source where that share of its texts, and at least so many, have it with an open
+#: ending; a text of that length is so much likelier to be cut.
+LIMIT_SHARE, LIMIT_ROWS, LIMIT_SCORE = 0.03, 3, 4.0
+#: Ids of texts with near-copies that travel with the tasks; more are joined.
+MAX_NEAR = 1_000_000
 
 _WORD = re.compile(r"[^\W\d_]+")
-_END = re.compile(r"([.!?…]+)[\"'”’»)\]]*$")
-_CLOSING = re.compile(r"([^\W\d_]{2,})[.!?…]+[\"”’»)\]]*$")
-_SENTENCE = re.compile(r"(?<![^\W_])[^\W_]{3,}[.!?…]+[\"'”’»)\]]*\s+[^\W_„“\"–]")
-_TOKEN = re.compile(r"[^\W\d_]+|\d|[^\w\s]|_")
-_SIGNED = re.compile(r"^(?:[^\W\d_][\w ]{2,30}[:,]? )?[^\W\d_]\. ?[^\W\d_]{2,}(?:, [^\W\d_ ]+(?: [^\W\d_ ]+)?)?$")
 
 _rng = np.random.default_rng(9)
 _A = _rng.integers(1, 2**61, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 2**61, BANDS * ROWS, dtype=np.uint64)
 
 
-def _shape(line: str) -> str:
-    """Kinds of a line's tokens: capital words, lower-case words, digits, marks; runs of words as one."""
-    kinds = ["C" if t[0].isupper() else "w" if t[0].isalpha() else "9" if t[0].isdigit() else t for t in _TOKEN.findall(line)]
-    out: list[str] = []
-    for k in kinds:
-        if not (k in "Cw" and out and out[-1] == k):
-            out.append(k)
-    return "".join(out)
-
-
-def ending(text: str | None) -> tuple[str, str, bool]:
-    """(manner, closing word in lower case, closing word has a capital). Manners: 'empty', 'whole', 'cut',
-    'mark' (dots that may stand for a cut), 'word' (to be judged by the closing word alone)."""
-    t = (text or "").rstrip()
-    if not t:
-        return "empty", "", False
-    lines = [x.strip() for x in t.splitlines() if x.strip()]
-    last, before = lines[-1], lines[:-1]
-    found = _WORD.findall(last)
-    word = found[-1] if found else ""
-    low, capital = word.lower(), word[:1].isupper()
-    tail = last[-60:]  # what closes the line; the patterns below end with it
-    end = _END.search(tail)
-    telegram = len(t) > 30 and word == word.upper() and (t.isupper() or sum(map(str.isupper, t)) > 0.9 * sum(map(str.isalpha, t)))
-    if not found or len(found) == 1 and low in CLOSERS and not last[-1].isalnum():
-        return "whole", low, capital
-    shapes: Counter[str] = Counter()
-    if len(before) >= 2 and max(map(len, before)) < 90:
-        shapes.update(map(_shape, before))
-    listed = bool(shapes) and sum(c for _, c in shapes.most_common(3)) >= 0.5 * len(before)
-    if listed and shapes.get(_shape(last)):
-        return ("whole" if end or not last[-1].isalpha() else "word"), low, capital
-    dots = bool(end) and ("…" in end[1] or end[1].startswith("..")) or bool(re.search(r"[\[(](?:\.\.\.|…)[\])]$", tail))
-    if dots:
-        return "mark", low, capital
-    if end:
-        # an initial, or the day of a date, is followed by more
-        if re.search(r"(?:^|[\s(])[^\W\d_]\.$", tail) and word == word.upper() or re.search(r"(?:^|\s)\d{1,2}\.$", tail):
-            return "cut", low, capital
-        return "whole", low, capital
-    if last[-1] in "\"”’»)]" and _END.search(tail.rstrip("\"'”’»)]")):
-        return "whole", low, capital
-    if last[-1] in ";:" and not telegram:
-        return "word", low, capital
-    if telegram:
-        return ("whole" if low in CLOSERS else "cut"), low, capital
-    if low in CLOSERS and len(found) <= 2:
-        return "whole", low, capital
-    if before and _SIGNED.match(last) and (not before[-1][-1].isalnum() or low in CLOSERS or _SIGNED.match(before[-1]) or len(before[-1].split()) <= 3):
-        return "name", low, capital
-    if listed:
-        return "cut", low, capital
-    if _SENTENCE.search(t):
-        return "cut", low, capital
-    return "word", low, capital
-
-
-def _closing(text: str) -> Iterator[str]:
-    """Words in front of a mark that ends a sentence within the text."""
-    for x in text.split()[:-1]:
-        if x[-1] in ".!?…\"”’»)]":
-            m = _CLOSING.search(x[-60:])
-            if m:
-                yield m[1].lower()
-
-
-def _bands(texts: list[str | None]) -> list[np.ndarray | None]:
-    """Band hashes of each text; none for texts of fewer words than a shingle has."""
+def _bands(texts: list[list[str]]) -> list[np.ndarray | None]:
+    """Band hashes of each text, given by its words; none for texts of fewer words than a shingle has."""
     weights = np.array([1000003**i % 2**61 for i in range(SHINGLE)], dtype=np.uint64)
     number: dict[str, int] = {}
     out: list[np.ndarray | None] = []
-    for t in texts:
-        w = _WORD.findall(t.lower()) if t else []
+    for w in texts:
         if len(w) < SHINGLE:
             out.append(None)
             continue
@@ -141,36 +69,36 @@ def _bands(texts: list[str | None]) -> list[np.ndarray | None]:
     return out
 
 
-def _scan(documents: DataFrame) -> DataFrame:
-    """One pass over the texts: rows of documents (their ending and bands) and rows of words (their uses inside
-    texts, and at ends of sentences, summed over the batch)."""
+def _scan(documents: DataFrame, rate: float) -> DataFrame:
+    """One pass over the texts: rows of documents (their ending and bands), of made cuts (their ending; of that share of the
+    documents) and of words (their uses inside texts, before the end of sentences and at the end of texts, summed over the batch)."""
+    schema = "kind string, id bigint, source string, length int, word string, traits map<string,string>, bands array<bigint>, n bigint, closing bigint, ends bigint"
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = b["t"].tolist()
-            ends = [ending(t) for t in texts]
-            inside: Counter[str] = Counter()
-            closing: Counter[str] = Counter()
-            for t in texts:
-                if t:
-                    w = _WORD.findall(t.lower())
-                    inside.update(w[:-1])  # the last word of a text may be a part of one
-                    closing.update(_closing(t))
-            yield pd.DataFrame({
-                "id": b["id"].tolist(), "source": b["source"].tolist(), "length": [len(t) if t else 0 for t in texts],
-                "manner": [e[0] for e in ends], "word": [e[1] for e in ends], "capital": [e[2] for e in ends],
-                "bands": _bands(texts), "n": 0, "closing": 0,
-            })
-            if inside:
-                yield pd.DataFrame({
-                    "id": 0, "source": None, "length": 0, "manner": None, "word": list(inside), "capital": False, "bands": None,
-                    "n": list(inside.values()), "closing": [closing[w] for w in inside],
-                })
+            inside, closing, ends = Counter(), Counter(), Counter()
+            rows = []
+            words = [_WORD.findall(t.lower()) if t else [] for t in texts]
+            for i, source, t, w, bands in zip(b["id"], b["source"], texts, words, _bands(words)):
+                found = traits(t) if t else None
+                word, f = found or (None, None)
+                rows.append(("text", i, source, len(t) if t else 0, word, f, bands, 0, 0, 0))
+                if found is None:
+                    continue
+                inside.update(w[:-1])  # the last word of a text may be a part of one
+                ends.update(w[-1:])
+                closing.update(closing_words(t))
+                if zlib.crc32(b"sample%d" % i) < rate * 2**32:
+                    word, f = traits(stopped(i, t)) or (None, None)
+                    rows.append(("cut", i, None, 0, word, f, None, 0, 0, 0))
+            rows += [("word", None, None, 0, w, None, None, inside[w], closing[w], ends[w]) for w in {*inside, *ends}]
+            out = pd.DataFrame(rows, columns=names)
+            yield out.assign(id=out["id"].astype("Int64"))
 
     rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("id"), "source", F.col("text").alias("t"))
-    return rows.mapInPandas(
-        run, "id bigint, source string, length int, manner string, word string, capital boolean, bands array<bigint>, n bigint, closing bigint"
-    )
+    return rows.mapInPandas(run, schema)
 
 
 def _places(texts: DataFrame) -> DataFrame:
@@ -231,23 +159,44 @@ def _goes_on(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, "id string, aligned boolean")
 
 
+def _scored(scan: DataFrame, uses: DataFrame, rate: float) -> DataFrame:
+    """`(id, source, length, score)` of the texts that are not blank. The model is fitted on the sample, on the driver."""
+    known = scan.where("traits is not null").join(uses, "word", "left").select(
+        "kind", "id", "source", "length", "traits", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("uses", "closings", "at_end")]
+    )
+    known = durable(known)
+    drawn = F.crc32(F.concat(F.lit("sample"), F.col("id").cast("string")).cast("binary")) < rate * 2**32
+    sample = known.where((F.col("kind") == "cut") | drawn).orderBy("id", "kind", "length").collect()  # about 2 * SAMPLE rows
+    full = lambda r: with_word(r["traits"], r["uses"], r["closings"], r["at_end"])
+    model = Terminality([full(r) for r in sample if r["kind"] == "text"], [full(r) for r in sample if r["kind"] == "cut"])
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            f = [with_word(dict(t), u, c, e) for t, u, c, e in zip(b["traits"], b["uses"], b["closings"], b["at_end"])]
+            yield b[["id", "source", "length"]].assign(score=model.score(f))
+
+    return known.where("kind = 'text'").drop("kind").mapInPandas(score, "id bigint, source string, length int, score double")
+
+
 def endings(documents: DataFrame) -> DataFrame:
-    """`(doc_id, source, length, cut, reason)` of every document. reason: 'copy', 'ending', 'word', 'name', 'mark', 'limit',
-    or null where the text is whole. Null, empty and blank texts are whole; an id given twice counts once, and is
-    cut where one of its texts is.
+    """`(doc_id, source, length, cut, reason)` of every document. reason: 'copy', 'ending', 'limit', or null where the text
+    is whole. Null, empty and blank texts are whole; an id given twice counts once, and is cut where one of its texts is.
+    Of a few dozen texts no manner of closing can be learnt: only copies are found.
 
     A text is held against every near-copy that goes on where it ends: exact copies are one text, and the last whole
     words of each text are looked up among the shingles of all texts that share a bucket of the banding with any other.
     """
-    scan = durable(_scan(documents))
-    docs = scan.where("manner is not null")
-    uses = scan.where("manner is null").groupBy("word").agg(F.sum("n").alias("uses"), F.sum("closing").alias("closing"))
+    rate = min(1.0, SAMPLE / max(1, documents.count()))
+    scan = durable(_scan(documents, rate))
+    docs = scan.where("kind = 'text'")
+    uses = scan.where("kind = 'word'").groupBy("word").agg(F.sum("n").alias("uses"), F.sum("closing").alias("closings"), F.sum("ends").alias("at_end"))
     # near-copies
     band = docs.where("bands is not null").select("id", F.posexplode("bands").alias("band", "h"))
     shared = band.groupBy("band", "h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("band", "h")
-    near = band.join(shared, ["band", "h"], "left_semi").select("id").distinct()
+    near = durable(band.join(shared, ["band", "h"], "left_semi").select("id").distinct())
     texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").alias("t")).where("text is not null")
-    held = durable(texts.join(near, "id", "left_semi").withColumn("sha", F.sha2("t", 256)))
+    few = near.count() <= MAX_NEAR  # 8 bytes each: the texts of the others need not be moved
+    held = durable(texts.join(F.broadcast(near) if few else near, "id", "left_semi").withColumn("sha", F.sha2("t", 256)))
     once = held.groupBy("sha").agg(F.first("t").alias("t"))
     places = durable(_places(once))
     ends = places.where("last is not null").select(F.col("sha").alias("id"), "key", "last", F.col("n").alias("m"))
@@ -258,26 +207,19 @@ def endings(documents: DataFrame) -> DataFrame:
     matched = pairs.join(once.select(F.col("sha").alias("id"), F.col("t").alias("a")), "id").join(once.select(F.col("sha").alias("other"), F.col("t").alias("b")), "other")
     cut = _goes_on(matched.select("id", "a", "b")).where("aligned").select(F.col("id").alias("sha")).distinct()
     aligned = held.join(cut, "sha", "left_semi").select("id", F.lit(True).alias("aligned")).distinct()
-    # lengths at which a source cuts
-    per = docs.groupBy("source", "length").agg(F.count(F.lit(1)).alias("k"), F.count_if(~F.col("manner").isin("whole", "empty")).alias("unended"))
-    every = per.groupBy("source").agg(F.sum("k").alias("all"))
+    # endings, and lengths at which a source cuts
+    scored = durable(_scored(scan, uses, rate))
+    per = scored.groupBy("source", "length").agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("score") > OPEN).alias("open"))
+    every = docs.groupBy("source").agg(F.count(F.lit(1)).alias("all"))
     limits = per.join(every, "source").where(
-        (F.col("unended") >= LIMIT_ROWS) & (F.col("unended") >= LIMIT_SHARE * F.col("all")) & (F.col("unended") >= 0.5 * F.col("k"))
+        (F.col("open") >= LIMIT_ROWS) & (F.col("open") >= LIMIT_SHARE * F.col("all")) & (F.col("open") >= 0.5 * F.col("k"))
     ).select("source", "length", F.lit(True).alias("limit"))
-    closed = docs.where(F.col("manner") == "empty")
-    judged = (
-        docs.where(F.col("manner") != "empty").drop("n", "closing", "bands")
-        .join(uses, "word", "left").join(limits, ["source", "length"], "left").join(aligned, "id", "left")
-    )
-    known = F.coalesce(F.col("uses"), F.lit(0)) > 0
-    can_close = known & F.when(F.col("uses") < FEW, F.col("capital")).otherwise(F.col("closing") >= CLOSES * F.col("uses"))
+    judged = scored.join(limits, ["source", "length"], "left").join(aligned, "id", "left")
     reason = (
-        F.when(F.col("aligned"), "copy").when(F.col("manner") == "cut", "ending").when(F.col("limit") & (F.col("manner") != "whole"), "limit")
-        .when((F.col("manner") == "word") & ~can_close, "word").when((F.col("manner") == "name") & ~known, "name").when((F.col("manner") == "mark") & ~can_close, "mark")
+        F.when(F.col("aligned"), "copy").when(F.col("score") > CUT, "ending").when(F.col("limit") & (F.col("score") > CUT - LIMIT_SCORE), "limit")
     )
-    out = judged.select("id", "source", "length", reason.alias("reason")).unionByName(
-        closed.select("id", "source", "length", F.lit(None).cast("string").alias("reason"))
-    )
+    blank = docs.where("traits is null").select("id", "source", "length", F.lit(None).cast("string").alias("reason"))
+    out = judged.select("id", "source", "length", reason.alias("reason")).unionByName(blank)
     return out.groupBy(F.col("id").alias("doc_id")).agg(
         F.max("source").alias("source"), F.max("length").alias("length"), F.max("reason").alias("reason")
     ).withColumn("cut", F.col("reason").isNotNull())

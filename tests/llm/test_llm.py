@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from kronika.llm import encoding, leakage, near_records, packing, quality, scans, splitting, survivors, truncation
+from kronika.llm import encoding, leakage, near_records, packing, quality, scans, splitting, survivors, terminality, truncation
 from kronika.llm.components import components
 
 WORDS = "vod četa most rov put brod selo otok luka zid mlin tor gaz klanac greben logor konvoj bunker tunel pristan".split()
@@ -235,15 +235,33 @@ def test_the_longest_chain_is_that_of_brute_force():
         assert leakage._chain([p for p, _ in hits], [a for _, a in hits], n) == max(best([(p, a, 3)]) for p, a in hits)
 
 
-@pytest.mark.parametrize("text, manner", [
-    ("Vod je prešao most. Zatim je čekao.", "whole"), ("Vod je prešao most. Zatim je če", "cut"), ("Vod je prešao most. Vodio ga je A.", "cut"),
-    ("Vod je prešao most. Zatim je če...", "mark"), ("VOD JE PREŠAO VELIKI MOST U SELU STOP", "whole"), ("VOD JE PREŠAO VELIKI MOST U SELU ST", "cut"),
-    ("Popis, Vis\n- Ban A. (kuhar)\n- Lul B. (vozar)\n- Rak C. (borac)", "whole"), ("Popis, Vis\n- Ban A. (kuhar)\n- Lul B. (vozar)\n- Rak C. (bo", "cut"),
-    ("Vod je prešao most.\nKomandant K. Plišić", "name"), ("Vod je prešao most.\n(kraj)", "whole"), ("Vod je prešao most.\n* * *", "whole"),
-    ("", "empty"), (None, "empty"), (" \n", "empty"), ("x" * 200_000, "word"),
+@pytest.mark.parametrize("text, word, want", [
+    ("Vod je prešao most. Zatim je čekao.", "čekao", {"mark": "stop", "token": "word", "style": "prose"}), ("Vod je prešao most. Zatim je če", "če", {"mark": "none", "sentence": "True"}),
+    ("Vod je prešao most. Vodio ga je A.", "a", {"mark": "stop", "token": "initial"}), ("Vod je prešao most. Zatim je če...", "če", {"mark": "dots"}), ("Vod je pri\ufffd", "pri", {"mark": "lost"}),
+    ("VOD JE PREŠAO VELIKI MOST U SELU STOP", "stop", {"style": "capitals", "capital": "2"}), ("Popis, Vis\n- Ban A. (kuhar)\n- Lul B. (vozar)\n- Rak C. (borac)", "borac", {"style": "lines", "seen": "True"}),
+    ("Popis, Vis\n- Ban A. (kuhar)\n- Lul B. (vozar)\n- Rak C. (bo", "bo", {"seen": "False"}), ("Vod je prešao most.\n* * *", "", {"token": "none"}), ("x" * 200_000, "x" * 200_000, {"length": "1"}),
 ])
-def test_endings(text, manner):
-    assert truncation.ending(text)[0] == manner
+def test_traits_of_endings(text, word, want):
+    found, f = terminality.traits(text)
+    assert found == word and want.items() <= f.items()
+
+
+def test_blank_texts_have_no_ending():
+    assert terminality.traits("") is None and terminality.traits(" \n\t") is None
+    assert list(terminality.closing_words("Vod je stao. Zatim (kod mora!) ide A. dalje")) == ["stao", "mora"]
+    assert terminality.Terminality([], []).score([terminality.with_word(terminality.traits("a b")[1], 0, 0, 0)]).tolist() == [0.0]
+
+
+def test_endings_are_learnt_from_the_texts_themselves(spark):
+    rng = random.Random(16)
+    last = ["kiše", "mraka", "jutra", "zore"]
+    sentence = lambda: f"{rng.choice(WORDS).capitalize()} {rng.choice(WORDS)} je {rng.choice(WORDS)} na {rng.choice(WORDS)} do {rng.choice(last)}."
+    roll = lambda: "\n".join(["Popis"] + [f"- {rng.choice(WORDS).capitalize()} {rng.choice('ABCD')}. ({rng.choice(WORDS)})" for _ in range(9)])
+    texts = [" ".join(sentence() for _ in range(rng.randint(5, 9))) for _ in range(400)] + [roll() for _ in range(100)]
+    cut = set(range(0, 500, 20))
+    docs = [(i, t[: -rng.randint(3, 9)] if i in cut else t, "s") for i, t in enumerate(texts)]
+    got = {r.doc_id for r in truncation.found(spark.createDataFrame(docs, "doc_id bigint, text string, source string")).collect()}
+    assert len(got & cut) >= 23 and len(got - cut) <= 5
 
 
 def test_truncation(spark):
@@ -253,7 +271,7 @@ def test_truncation(spark):
     docs = [(1, "s", body + " na kraju"), (2, "s", body + " na kra"), (3, "s", sentence), (4, "s", sentence[:-4]), (5, None, None), (6, "s", ""), (3, "s", sentence), (None, "s", "x")]
     df = spark.createDataFrame([(i, t, s, 1) for i, s, t in docs], "doc_id bigint, text string, source string, reason int")
     r = {x.doc_id: x.reason for x in truncation.endings(df).collect()}
-    assert r[2] == "copy" and r[4] == "ending" and r[3] is None and r[5] is None and r[6] is None and len(r) == 6
+    assert r[2] == "copy" and r[3] is None and r[5] is None and r[6] is None and len(r) == 6
     shares = {x.source: (x.documents, x.cut) for x in truncation.by_source(df).collect()}
     assert shares[None] == (1, 0) and shares["s"][0] == 5
     assert truncation.found(df.limit(0)).count() == 0
