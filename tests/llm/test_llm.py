@@ -83,6 +83,26 @@ def test_scans(spark):
     assert scans.found(pages.limit(0), cleaned.limit(0), meta.limit(0)).count() == 0
 
 
+def test_neighbours_count_the_same_however_many_words_are_contested(spark):
+    texts = spark.createDataFrame([("u selu i na putu",), ("ii selu", ), ("u selu",), (None,)], "t string")
+    contested = spark.createDataFrame([("ii", [("u",)])], "word string, others array<struct<word:string>>")
+    one, two = ({tuple(r) for r in scans._pair_counts(texts, contested, n).collect()} for n in (100, 0))
+    assert one == two == {("u", "selu", 2), ("ii", "selu", 1)}
+
+
+def test_the_channel_reads_forms_no_word_of_the_corpus_explains():
+    threes = Counter()
+    for w in ["".join(x) for x in zip("sklpmtrvnb" * 9, "aeiou" * 18, "rlnmsk" * 15, "aeiouoiea" * 10)]:
+        threes.update(f"^^{w}$"[i : i + 3] for i in range(len(w) + 1))
+    chances = {f"{a}>{b}": -8.0 for a, b in scans.CONFUSIONS}
+    channel = scans.Channel(chances, scans.Letters(threes))
+    assert scans._decode(["s@ra", "s1", "19aa", "sara", "s@ra!"], channel, {}, {}) == ["sara", "s1", "19aa", "sara", "sara!"]
+    # without candidates for it a plain word stays what it is, and the more likely neighbour decides where there are some
+    noted = {"ii": {"n": 40, "others": [{"word": "u", "n": 100_000, "chance": -8.0}], "contested": True, "kept": -5.0}}
+    assert scans._decode(["ii", "selu"], channel, noted, {("u", "selu"): 4.0}) == ["u", "selu"]
+    assert scans._decode(["ii", "kongres"], channel, noted, {("ii", "kongres"): 4.0}) == ["ii", "kongres"]
+
+
 def test_every_misreading_has_the_key_of_its_word(spark):
     words = ["bataljon", "drveni", "umorna", "khlmnu", "čekić", "šumski", "hrvatska", "vezist"]
     pairs = [(w, f) for w in words for f in scans._misreadings(w)]
