@@ -10,17 +10,22 @@ its windows. Documents are numbered within their length and take their place in
 from __future__ import annotations
 
 import bisect
+import os
 from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CAPACITY = 2048
+#: Ranks of a byte-level tokenizer, a file of the driver; it is sent to the executors.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-#: Documents that are numbered in one task.
-NUMBER_ROWS = 100_000
+# Fixed value: how that tokenizer parts a text before it merges bytes.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Documents that are numbered in one task, and numbers whose places in the plan lie in one row.
+NUMBER_ROWS, SPAN = 100_000, 64
 
 _ENCODINGS: dict[tuple[str, str], object] = {}
 
@@ -38,16 +43,17 @@ def _encoding(path: str, pattern: str):
     return _ENCODINGS[key]
 
 
-def count_tokens(documents: DataFrame, path: str = TOKENIZER, key: str = "doc_id", text: str = "text") -> DataFrame:
+def count_tokens(documents: DataFrame, path: str = TOKENIZER, key: str = "doc_id", text: str = "text", pattern: str = PATTERN) -> DataFrame:
     """`(doc_id, tokens)`; null and empty texts have 0 tokens, null keys are left out, a key twice counts once.
 
     The text goes through one Arrow stage and only numbers come out of it.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import public_tokenizers
+    documents.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
 
-        enc = _encoding(path, public_tokenizers.PATTERN)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enc = _encoding(SparkFiles.get(name), pattern)
         for b in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b["t"]]
             yield pd.DataFrame({key: b[key], "tokens": pd.array(n, dtype="int64")})
@@ -182,10 +188,12 @@ def pack(sized: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -> Dat
     order = Window.partitionBy("len", "slice").orderBy("id", "piece")
     numbered = cut.withColumn("r", F.row_number().over(order) - 1).join(before.drop("c"), ["len", "slice"])
     numbered = numbered.withColumn("no", F.col("r") + F.col("before"))
-    # the plan has a few entries per length; its size does not depend on the number of documents
-    per_len = slots.groupBy("len").agg(F.array_sort(F.collect_list(F.struct("hi", "lo", "base", "place"))).alias("slots"))
+    # the slots that a span of numbers falls into: at most as many as it has numbers
+    touched = F.sequence(F.floor(F.col("lo") / SPAN), F.floor((F.col("hi") - 1) / SPAN))
+    spans = slots.withColumn("span", F.explode(touched)).groupBy("len", "span").agg(F.array_sort(F.collect_list(F.struct("hi", "lo", "base", "place"))).alias("slots"))
     hit = F.try_element_at(F.filter("slots", lambda x: x["hi"] > F.col("no")), F.lit(1))
-    placed = numbered.join(F.broadcast(per_len), "len").withColumn("at", hit).select(
+    numbered = numbered.withColumn("span", F.floor(F.col("no") / SPAN))
+    placed = numbered.join(spans, ["len", "span"]).withColumn("at", hit).select(
         F.col("id").alias(key), F.col("piece").cast("int").alias("piece"), F.col("len").alias("tokens"),
         (F.col("piece") * capacity).alias("start"), (F.col("at.base") + F.col("no") - F.col("at.lo")).alias("window"), F.col("at.place").alias("place"),
     )
