@@ -16,6 +16,8 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # checkpoints nobody holds any more are deleted
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # an LLM call or an index append must not run twice side by side
     "spark.speculation": "false",
 }
