@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kronika.functions import text as T
 from kronika.session import durable
 
-#: Largest table of common words that is taken into the plan.
+#: Largest table of common words that is taken into the plan; a larger one is joined.
 MAX_COMMON = 10_000
 #: Robust z from which on a text is no prose: few common words, few words in lower case, many symbols,
 #: few words with letters at all.
@@ -31,19 +31,42 @@ _LOWER_WORD = r"(?U)(?<![^\s\x1c-\x1f])[^\s\x1c-\x1f\p{L}\p{N}]*+\p{Ll}"
 _SPACE = r"(?U)[\s\x1c-\x1f]"
 
 
-def common_by_language(common_words: DataFrame) -> dict[str, list[str]]:
-    """The table of common words as literals. It does not grow with the data; beyond MAX_COMMON rows it is refused."""
-    rows = common_words.where("lang is not null and word is not null").select("lang", F.lower("word").alias("word")).distinct()
-    rows = rows.limit(MAX_COMMON + 1).collect()
-    if len(rows) > MAX_COMMON:
-        raise ValueError(f"more than {MAX_COMMON} common words")
+Common = dict[str, list[str]] | DataFrame
+
+
+def common_by_language(common_words: DataFrame, most: int = MAX_COMMON) -> Common:
+    """Common words as literals by language, or beyond `most` rows as a table `(lang, word)`. Null words and languages are left out."""
+    table = common_words.where("lang is not null and word is not null").select("lang", F.lower("word").alias("word")).distinct()
+    rows = table.limit(most + 1).collect()
+    if len(rows) > most:
+        return durable(table)
     out: dict[str, list[str]] = {}
     for lang, word in sorted(map(tuple, rows)):
         out.setdefault(lang, []).append(word)
     return out
 
 
-def statistics(df: DataFrame, common: dict[str, list[str]], text: str = "text") -> DataFrame:
+_WORDS = r"[\p{L}\p{M}]+"
+
+
+def _with_common(df: DataFrame, t: Column, common: Common) -> DataFrame:
+    """Adds `_best`: the language with the most common words in the text, the last in order of several, and their number."""
+    if isinstance(common, dict):
+        every = sorted({w for ws in common.values() for w in ws})
+        # common words are a fourth of a text; the languages are told apart among these only
+        found = F.filter(F.regexp_extract_all(F.lower(t), F.lit(_WORDS), F.lit(0)), lambda w: w.isin(every))
+        within = lambda ws: F.size(F.filter("_common", lambda w: w.isin(ws)))
+        each = [F.struct(within(ws).alias("n"), F.lit(lang).alias("lang")) for lang, ws in common.items()]
+        best = F.array_max(F.array(*each)) if each else F.lit(None).cast("struct<n:int,lang:string>")
+        return df.withColumn("_common", found).withColumn("_best", best).drop("_common")
+    df = durable(df.withColumn("_id", F.monotonically_increasing_id()))
+    words = df.select("_id", F.explode(F.regexp_extract_all(F.lower(t), F.lit(_WORDS), F.lit(0))).alias("word"))
+    per = words.groupBy("_id", "word").agg(F.count(F.lit(1)).alias("k")).join(common, "word").groupBy("_id", "lang").agg(F.sum("k").cast("int").alias("n"))
+    best = per.groupBy("_id").agg(F.max(F.struct("n", "lang")).alias("_best"))
+    return df.join(best, "_id", "left").drop("_id")
+
+
+def statistics(df: DataFrame, common: Common, text: str = "text") -> DataFrame:
     """Adds the statistics and `text_lang` to each row. Null and blank texts have n_words 0, null shares
     and language 'und'; so does, with shares of 0, a text without any common word.
 
@@ -53,18 +76,13 @@ def statistics(df: DataFrame, common: dict[str, list[str]], text: str = "text")
     """
     t = F.coalesce(F.col(text), F.lit(""))
     dense = F.regexp_replace(t, _SPACE + "+", "")
-    every = sorted({w for ws in common.values() for w in ws})
-    df = df.withColumns({
+    df = _with_common(df, t, common).withColumns({
         "n_words": T.count_words(t), "_dense": F.length(dense),
         "_n": F.regexp_count(t, F.lit(_LETTER_WORD)), "_lower": F.regexp_count(t, F.lit(_LOWER_WORD)),
-        # common words are a fourth of a text; the languages are told apart among these only
-        "_common": F.filter(F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{M}]+"), F.lit(0)), lambda w: w.isin(every)),
         "_symbols": F.length(F.regexp_replace(dense, r"[\p{L}\p{N}\p{M}]+", "")),
         "_lines": F.regexp_count(t, F.lit(r"(?m)^.*\S.*$")),
         "_ends": F.regexp_count(t, F.lit(r"(?m)[.!?…:;][\"'”’»)\]]*[ \t]*$")),
     })
-    within = lambda ws: F.size(F.filter("_common", lambda w: w.isin(ws)))
-    df = df.withColumn("_best", F.array_max(F.array(*[F.struct(within(ws).alias("n"), F.lit(lang).alias("lang")) for lang, ws in common.items()])))
     hits = F.coalesce(F.col("_best.n"), F.lit(0))
     share = lambda a, b: a / F.nullif(b, F.lit(0))
     return df.withColumns({
@@ -76,7 +94,7 @@ def statistics(df: DataFrame, common: dict[str, list[str]], text: str = "text")
         "common_share": F.when(F.col("n_words") > 0, F.coalesce(share(hits, F.col("_n")), F.lit(0.0))),
         "lower_share": F.when(F.col("n_words") > 0, F.coalesce(share(F.col("_lower"), F.col("_n")), F.lit(0.0))),
         "letter_word_share": share(F.col("_n"), F.col("n_words")),
-    }).drop("_dense", "_n", "_lower", "_common", "_best", "_symbols", "_lines", "_ends")
+    }).drop("_dense", "_n", "_lower", "_best", "_symbols", "_lines", "_ends")
 
 
 def sketches(stats: DataFrame, columns: list[str]) -> DataFrame:
@@ -126,7 +144,7 @@ def in_tail(tails: dict[str, float] = TAILS) -> Column:
     return F.coalesce(reduce(lambda a, b: a | b, [F.coalesce(h, F.lit(False)) for h in hits], F.lit(False)))
 
 
-def _once(chunks: DataFrame, common: dict[str, list[str]]) -> DataFrame:
+def _once(chunks: DataFrame, common: Common) -> DataFrame:
     """Statistics of each chunk, kept while the sketches are made of them. Texts are not shuffled: a chunk loaded twice
     has the same statistics twice, and those are made one."""
     s = statistics(chunks.select("book", "chunk_id", "text"), common)
@@ -138,14 +156,26 @@ def found(chunks: DataFrame, pages: DataFrame, common_words: DataFrame) -> DataF
     no case. A key loaded twice comes out once."""
     common = common_by_language(common_words)
     s = scored(_once(chunks, common), list(TAILS)).where(in_tail())
-    p = statistics(pages.select("book", "page_number", "text", "word_count"), common)
-    wrong = p.where(F.col("word_count").isNull() | (F.col("word_count") != F.col("n_words")))
     return (
         s.select(F.lit("chunk").alias("item"), "book", F.col("chunk_id").alias("item_no"))
-        .unionByName(wrong.select(F.lit("page").alias("item"), "book", F.col("page_number").alias("item_no"))).distinct()
+        .unionByName(wrong_counts(pages).select(F.lit("page").alias("item"), "book", F.col("page_number").alias("item_no"))).distinct()
     )
 
 
+def wrong_counts(pages: DataFrame) -> DataFrame:
+    """`(book, page_number, word_count, n_words)` of pages whose word_count is null or not the number of words of the text."""
+    p = pages.select("book", "page_number", "word_count", T.count_words(F.coalesce("text", F.lit(""))).alias("n_words"))
+    return p.where(F.col("word_count").isNull() | (F.col("word_count") != F.col("n_words"))).distinct()
+
+
+def page_report(pages: DataFrame, common_words: DataFrame) -> DataFrame:
+    """Every page with its statistics, and its scores among the pages of its language. A page loaded twice comes out once
+    for each different text or count."""
+    s = statistics(pages.select("book", "page_number", "text", "word_count"), common_by_language(common_words))
+    s = durable(s.select("book", "page_number", "word_count", "text_lang", "letter_words", *STATS).distinct())
+    return scored(s, STATS).withColumn("right_count", F.coalesce(F.col("word_count") == F.col("n_words"), F.lit(False)))
+
+
 def report(chunks: DataFrame, common_words: DataFrame) -> DataFrame:
     """Every chunk with its statistics, scores and verdict; no shuffle but for the repeated rows."""
     s = _once(chunks, common_by_language(common_words))

@@ -24,6 +24,8 @@ def queries() -> dict[str, Query]:
         "p1_pieces": lambda s, d: splitting.split_oversized(t(s, d, "chunks")),
         "p2_found": lambda s, d: quality.found(t(s, d, "chunks"), t(s, d, "pages"), t(s, d, "common_words")),
         "p2_statistics": lambda s, d: quality.report(t(s, d, "chunks"), t(s, d, "common_words")),
+        "p2_pages": lambda s, d: quality.page_report(t(s, d, "pages"), t(s, d, "common_words")),
+        "p2_wrong_counts": lambda s, d: quality.wrong_counts(t(s, d, "pages")),
         "p3_found": lambda s, d: scans.found(*scanned(s, d)),
         "p3_repaired": lambda s, d: scans.repaired(*scanned(s, d)),
         "p4_found": lambda s, d: encoding.found(t(s, d, "metadata"), corpus(s, d)),
@@ -45,11 +47,50 @@ def queries() -> dict[str, Query]:
 _WORDS = r"list_distinct(regexp_extract_all(lower(strip_accents(concat_ws(' ', place, operation, notes))), '[\p{L}\p{N}]+'))"
 
 
+_PLAIN = r"regexp_replace(regexp_replace(lower(strip_accents(coalesce({}, ''))), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g'), '\s+', '', 'g')"
+
+
+def _date_sql() -> str:
+    """[year, month, day] of a date text, as `survivors.parse_date` reads it."""
+    s = r"lower(trim(regexp_replace(coalesce(date, ''), '\s+', ' ', 'g')))"
+    n = lambda p, g: f"try_cast(nullif(regexp_extract({s}, '{p}', {g}), '') AS INT)"
+    ymd, named = r"^(\d{4})[-/.](\d{1,2})(?:[-/.](\d{1,2}))?\.?$", r"^(?:.* )?(?:(\d{1,2})\.? )?(\p{L}+),? (\d{4})\.?$"
+    dot, slash = r"^(\d{1,2})\. ?(\d{1,2})\. ?(\d{4})\.?$", r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})$"
+    names = "map {" + ", ".join(f"'{x}': {i + 1}" for i, m in enumerate(survivors.MONTHS) for x in m) + "}"
+    y = f"coalesce({n(ymd, 1)}, {n(dot, 3)}, {n(slash, 3)}, {n(named, 3)}, {n(r'^(\d{4})\.?$', 1)})"
+    m = f"coalesce({n(ymd, 2)}, {n(dot, 2)}, {n(slash, 2)}, {names}[regexp_extract({s}, '{named}', 2)])"
+    d = f"coalesce({n(ymd, 3)}, {n(dot, 1)}, {n(slash, 1)}, {n(r'^(?:.* )?(\d{1,2})\.? (\p{L}+),? (\d{4})\.?$', 1)})"
+    mm = f"CASE WHEN {m} BETWEEN 1 AND 12 THEN {m} END"
+    last = f"day(last_day(make_date(coalesce({y}, 2000), {mm}, 1)))"
+    return f"[{y}, CASE WHEN {y} IS NOT NULL THEN {mm} END, CASE WHEN {y} IS NOT NULL AND {mm} IS NOT NULL AND {d} BETWEEN 1 AND {last} THEN {d} END]"
+
+
+_DATE = _date_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": r"""
             SELECT DISTINCT book, chunk_id FROM chunks
             WHERE len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) > 200""",
+        "p2_wrong_counts": r"""
+            SELECT DISTINCT book, page_number, word_count, n_words FROM (
+                SELECT book, page_number, word_count, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> ''))::INT AS n_words FROM pages)
+            WHERE word_count IS NULL OR word_count <> n_words""",
+        "p5_found": rf"""
+            WITH RECURSIVE m AS (
+                SELECT movement_id AS id, book, {_PLAIN.format("place")} AS p, {_PLAIN.format("operation")} AS o, extracted_at, {_DATE} AS d,
+                    list_distinct(list_filter(coalesce(source_chunk_ids, []::INT[]), lambda x: x IS NOT NULL)) AS ch,
+                    coalesce(coordinates.lat BETWEEN 42 AND 47 AND coordinates.lng BETWEEN 13 AND 20, false)::INT AS pt
+                FROM movements),
+            l AS (
+                SELECT a.id AS x, b.id AS y FROM m a JOIN m b ON a.book = b.book AND a.p = b.p AND a.o = b.o AND a.id <> b.id
+                WHERE a.p <> '' AND a.o <> '' AND list_has_any(a.ch, b.ch) AND (a.d[1] IS NULL OR b.d[1] IS NULL OR (a.d[1] = b.d[1] AND (a.d[2] IS NULL OR b.d[2] IS NULL OR (
+                    a.d[2] = b.d[2] AND (a.d[3] IS NULL OR b.d[3] IS NULL OR a.d[3] = b.d[3])))))),
+            r AS (SELECT DISTINCT x AS id, x AS root FROM l UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.id),
+            g AS (SELECT id, min(root) AS group_id FROM r GROUP BY id),
+            k AS (SELECT group_id, id AS survivor_id, row_number() OVER (PARTITION BY group_id ORDER BY (d[3] IS NOT NULL)::INT + pt DESC, len(ch) DESC, extracted_at DESC NULLS LAST, id) AS n FROM g JOIN m USING (id))
+            SELECT group_id, survivor_id FROM k WHERE n = 1""",
         "p6_found": f"""
             WITH r AS (
                 SELECT DISTINCT ON (movement_id) movement_id AS id, {_WORDS} AS w

@@ -68,6 +68,16 @@ def test_quality(spark):
     assert quality.found(chunks.limit(0), pages.limit(0), common).count() == 0
 
 
+def test_statistics_are_the_same_however_many_common_words_there_are(spark):
+    common = spark.createDataFrame([("hr", "je"), ("hr", "na"), ("en", "the"), ("en", "na"), (None, "x"), ("en", None)], "lang string, word string")
+    rows = spark.createDataFrame([(1, "Vod je na moru, je."), (2, "the na the"), (3, "ništa"), (4, None), (5, "na")], "i int, text string")
+    one, two = (sorted(map(str, quality.statistics(rows, quality.common_by_language(common, most)).collect())) for most in (100, 1))
+    assert one == two and "text_lang='hr'" in one[0]
+    pages = spark.createDataFrame([("b", 1, "a b", 2), ("b", 2, "a b", 3), ("b", 3, None, None), ("b", 1, "a b", 2)], "book string, page_number int, text string, word_count int")
+    assert sorted((r.page_number, r.n_words) for r in quality.wrong_counts(pages).collect()) == [(2, 2), (3, 0)]
+    assert sorted((r.page_number, r.right_count) for r in quality.page_report(pages, common).collect()) == [(1, True), (2, False), (3, False)]
+
+
 def test_scans(spark):
     line = "bataljon je krenuo prema mostu i zauzeo selo prije noći"
     good = [("g", i, f"{WORDS[i % 20]} i {WORDS[i * 7 % 19]} te {line}\nzatim je vod prešao rijeku i čekao", 20, "q") for i in range(1, 30)]
