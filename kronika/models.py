@@ -48,14 +48,11 @@ class HashingEmbedder:
 
 
 class OverlapReranker:
-    """Stand-in: share of the question's words that a text has, of at most `limit` words."""
-
-    def __init__(self, limit: int = 512) -> None:
-        self.limit = limit
+    """Stand-in: share of the question's words that a text has, all of it."""
 
     def score(self, question: str, texts: list[str]) -> list[float]:
         q = set(plain_tokens(question))
-        return [len(q & set(plain_tokens(t)[: self.limit])) / len(q) if q else 0.0 for t in texts]
+        return [len(q & set(plain_tokens(t))) / len(q) if q else 0.0 for t in texts]
 
 
 class ScriptedLLM:
@@ -76,6 +73,75 @@ class EchoLLM:
         return json.dumps({"movements": [], "notes": []})
 
 
+# ---------------------------------------------------------------- what a site may have installed
+
+
+class OpenAIClient:
+    """Needs the package `openai` and its key in the environment."""
+
+    def __init__(self, model: str) -> None:
+        from openai import OpenAI
+
+        self.client, self.model = OpenAI(), model
+
+    def generate(self, system: str, user: str, max_tokens: int = 1600) -> str:
+        messages = [{"role": "system", "content": system}, {"role": "user", "content": user}]
+        return self.client.chat.completions.create(model=self.model, messages=messages, max_completion_tokens=max_tokens).choices[0].message.content or ""
+
+
+class AnthropicClient:
+    """Needs the package `anthropic` and its key in the environment."""
+
+    def __init__(self, model: str) -> None:
+        import anthropic
+
+        self.client, self.model = anthropic.Anthropic(), model
+
+    def generate(self, system: str, user: str, max_tokens: int = 1600) -> str:
+        answer = self.client.messages.create(model=self.model, max_tokens=max_tokens, system=system, messages=[{"role": "user", "content": user}])
+        return "".join(getattr(part, "text", "") for part in answer.content)
+
+
+#: Providers by name: a model's name to a client.
+PROVIDERS = {"openai": OpenAIClient, "anthropic": AnthropicClient}
+
+
+class SentenceEmbedder:
+    """Unit vectors of a model of `sentence_transformers`."""
+
+    def __init__(self, model: str) -> None:
+        from sentence_transformers import SentenceTransformer
+
+        self.model = SentenceTransformer(model)
+
+    def encode(self, texts: list[str]) -> list[list[float]]:
+        return self.model.encode(texts, normalize_embeddings=True).tolist()
+
+
+class CrossEncoderReranker:
+    """Scores of a cross encoder of `sentence_transformers`, which reads as much of a text as it can hold."""
+
+    def __init__(self, model: str, limit: int = 512) -> None:
+        from sentence_transformers import CrossEncoder
+
+        self.model = CrossEncoder(model, max_length=limit)
+
+    def score(self, question: str, texts: list[str]) -> list[float]:
+        return [float(x) for x in self.model.predict([(question, t) for t in texts])] if texts else []
+
+
+class PdfPlumberParser:
+    """Texts of the pages of a PDF file, by the package `pdfplumber`."""
+
+    def pages(self, content: bytes) -> list[str]:
+        import io
+
+        import pdfplumber
+
+        with pdfplumber.open(io.BytesIO(content)) as pdf:
+            return [page.extract_text() or "" for page in pdf.pages]
+
+
 class LinePdfParser:
     """Stand-in: form feeds part the pages of a text file."""
 

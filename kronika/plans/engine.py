@@ -10,13 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kronika.config import PROFILES, Vocabulary, profile
-from kronika.models import Embedder, HashingEmbedder, LLMClient, OverlapReranker, Reranker
+from kronika.models import PROVIDERS, Embedder, HashingEmbedder, LLMClient, OverlapReranker, Reranker
 from kronika.operators import retrieval as R
+from kronika.operators.order import once
+from kronika.plans import prompts as P
 from kronika.sources import files as S
 
-ANSWER_SYSTEM = "You answer questions from the passages you are given and cite their pages. Say so where they do not hold the answer."
-PROVIDERS: dict[str, Callable[[], LLMClient]] = {}
-
 
 @dataclass
 class Retrieval:
@@ -27,15 +26,19 @@ class Retrieval:
 
 
 def build_index(chunks: DataFrame, path: str, embedder: Embedder | None = None, batch: int = 32, reset: bool = False, vocabulary: Vocabulary = Vocabulary()) -> tuple[int, int]:
-    """Chunks with features and vectors to the table at `path`; (indexed, skipped). Only chunks it does not hold are
-    encoded, `batch` texts at a time."""
+    """Chunks with features and vectors to the table at `path`; (indexed, skipped). Only chunks it does not hold with the same
+    text are encoded, `batch` texts at a time; a chunk whose text has changed gets a later `version`, see `current`. Of a
+    chunk loaded twice the greatest text counts."""
     model = embedder or HashingEmbedder()
     spark = chunks.sparkSession
-    once = chunks.dropDuplicates(["book", "chunk_id"])
-    total = once.count()
+    mine = once(chunks, ["book", "chunk_id"], [F.coalesce("text", F.lit("")), F.coalesce("word_count", F.lit(-1))])
+    mine = mine.withColumns({"text_key": F.md5(F.coalesce("text", F.lit(""))), "version": F.lit(1)})
+    total = mine.count()
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not reset and p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        once = R.missing(once, spark.read.parquet(path), ["book", "chunk_id"])
+        held = current(spark.read.parquet(path)).select("book", "chunk_id", F.col("text_key").alias("_key"), F.col("version").alias("_v"))
+        mine = mine.join(held, ["book", "chunk_id"], "left").where("_key is null or _key <> text_key")
+        mine = mine.withColumn("version", F.coalesce("_v", F.lit(0)) + 1).drop("_key", "_v")
 
     def encode(frames):
         for f in frames:
@@ -43,21 +46,27 @@ def build_index(chunks: DataFrame, path: str, embedder: Embedder | None = None,
             f["embedding"] = [v for i in range(0, len(texts), batch) for v in model.encode(texts[i : i + batch])]
             yield f
 
-    featured = R.with_features(once, vocabulary)
+    featured = R.with_features(mine, vocabulary)
     fields = ", ".join(f"{n} {t}" for n, t in featured.dtypes)
     pages = F.coalesce("source_pages", F.array().cast("array<int>"))
     rows = featured.mapInPandas(encode, fields + ", embedding array<float>").withColumns({
         "page_start": F.coalesce(F.try_element_at(pages, F.lit(1)), F.lit(-1)), "page_end": F.coalesce(F.try_element_at(pages, F.lit(-1)), F.lit(-1)),
     })
-    done = S.append_new(rows, path, ["book", "chunk_id"], reset)
+    done = S.append_new(rows, path, ["book", "chunk_id", "version"], reset)
     return done, total - done
 
 
+def current(index: DataFrame) -> DataFrame:
+    """The rows of an index that hold: the last version of each chunk."""
+    last = index.groupBy("book", "chunk_id").agg(F.max("version").alias("version"))
+    return index.join(last, ["book", "chunk_id", "version"], "left_semi")
+
+
 class Engine:
     """One book of an index. Clients are made once and used for every question."""
 
     def __init__(self, index: DataFrame, book: str, title: str | None = None, embedder: Embedder | None = None, reranker: Reranker | None = None, vocabulary: Vocabulary = Vocabulary()) -> None:
-        self.chunks = index.where(F.col("book") == book)
+        self.chunks = current(index.where(F.col("book") == book))
         self.title = title or book
         self.embedder, self.reranker, self.vocabulary = embedder or HashingEmbedder(), reranker or OverlapReranker(), vocabulary
 
@@ -80,8 +89,8 @@ class Engine:
 
     def answer(self, question: str, llm: LLMClient, **options) -> tuple[str, Retrieval]:
         found = self.retrieve(question, **options)
-        user = f"Book: {found.title}\n\nPassages:\n\n{found.context}\n\nQuestion: {question}"
-        return llm.generate(ANSWER_SYSTEM, user, 1600), found
+        user = P.ANSWER_USER.format(title=found.title, context=found.context, question=question)
+        return llm.generate(P.ANSWER_SYSTEM, user, 1600), found
 
 
 class Service:
@@ -92,10 +101,12 @@ class Service:
             super().__init__(message)
             self.status = status
 
-    def __init__(self, index: DataFrame, catalog: DataFrame, providers: dict[str, Callable[[], LLMClient]] | None = None, held: int = 8) -> None:
-        self.index, self.catalog, self.providers, self.held = index, catalog, providers or PROVIDERS, held
+    def __init__(self, index: DataFrame, catalog: DataFrame, providers: dict[str, Callable[[str], LLMClient]] | None = None, held: int = 8) -> None:
+        """`providers`: by name, what makes a client for the name of a model."""
+        self.index, self.catalog, self.held = index, catalog, held
+        self.providers = PROVIDERS if providers is None else providers
         self._engines: dict[str, Engine] = {}
-        self._clients: dict[str, LLMClient] = {}
+        self._clients: dict[tuple[str, str], LLMClient] = {}
 
     def books(self) -> dict:
         rows = self.catalog.orderBy(F.lower("title"), "slug").collect()  # one row per book, asked for by a reader
@@ -129,7 +140,10 @@ class Service:
             found = engine.retrieve(question, **options)
             answer = found.context
         else:
-            client = self._clients.setdefault(provider, self.providers[provider]())
+            model = request.get("model") or ""
+            if (provider, model) not in self._clients:
+                self._clients[provider, model] = self.providers[provider](model)
+            client = self._clients[provider, model]
             answer, found = engine.answer(question, client, **options)
         return {
             "book": {"slug": request["book_slug"], "title": engine.title}, "answer": answer, "chunk_ids": found.chunk_ids,

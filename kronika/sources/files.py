@@ -20,6 +20,10 @@ EVENT = (
     "source_chunk_ids:array<int>,source_pages:array<int>>"
 )
 BATCH = f"book string, batch_id int, chunk_ids array<int>, source_pages array<int>, provider string, model string, movements array<{EVENT}>, notes array<string>, raw_response string, repair_attempts int"
+DOCUMENT = (
+    "book string, brigade_id bigint, brigade_name string, movements array<struct<date:string,place:string,coordinates:struct<lat:double,lng:double>,"
+    "operation:string,division:string,notes:string>>, notes string, source string"
+)
 METADATA = "book string, book_title string, source_pdf string, page_count int, output_jsonl string"
 
 
@@ -142,6 +146,21 @@ def load_env(*folders: str, name: str = ".env") -> dict[str, str]:
     return {}
 
 
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Campaign documents as `pretty` writes them, one or several a file: each ends with a brace at the start of a line."""
+    text = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"(?m)(?<=^\})\r?\n")).alias("v")).where(F.trim("v") != "")
+    return text.select(F.from_json("v", DOCUMENT, {"mode": "FAILFAST"}).alias("d")).select("d.*")
+
+
+def load_documents(spark: SparkSession, path: str | None) -> dict:
+    """The first of the documents written to a folder before, without its events; empty where there is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return {}
+    row = read_documents(spark, path).drop("movements").orderBy("book").first()
+    return row.asDict() if row else {}
+
+
 def load_template(*paths: str | None) -> dict:
     """The first file there is, else an empty document."""
     for path in paths:

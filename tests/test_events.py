@@ -141,6 +141,24 @@ def test_verification_and_polish(spark, tmp_path):
     assert len(p) == 3 and p[2].operation == "Short" and p[2].notes == "Fine." and p[1].operation == "Assault on Selca"
 
 
+def test_commands(spark, tmp_path, monkeypatch, capsys):
+    from kronika import cli, models
+
+    monkeypatch.setitem(models.PROVIDERS, "openai", lambda model: ScriptedLLM(GOOD))
+    chunks, at = str(tmp_path / "chunks.parquet"), lambda name: str(tmp_path / name)
+    spark.createDataFrame([("b", i, [i], f"text {i}", 2) for i in range(1, 10)] + [("c", 1, [1], "t", 1)], S.CHUNKS).write.parquet(chunks)
+    (tmp_path / "t.json").write_text(json.dumps({"brigade_name": "First", "brigade_id": 7}))
+    cli.main(["build", "all", "--chunks", chunks, "--work-dir", at("w"), "--output", at("doc"), "--template", at("t.json"), "--parallel", "1"], spark)
+    cli.main(["verify", "all", "--build-dir", at("w"), "--work-dir", at("v"), "--output", at("doc"), "--max-group-size", "1"], spark)
+    docs = S.read_documents(spark, at("doc")).orderBy("book").collect()
+    assert [(d.book, d.brigade_name, d.brigade_id, len(d.movements)) for d in docs] == [("b", "First", 7, 1), ("c", "First", 7, 1)]
+    monkeypatch.setitem(models.PROVIDERS, "openai", lambda model: ScriptedLLM(json.dumps({"events": [{"index": 1, "operation": "Short", "notes": "n"}]})))
+    cli.main(["polish", at("doc"), "--output", at("done"), "--work-dir", at("p"), "--name", "First"], spark)
+    assert [m.operation for d in S.read_documents(spark, at("done")).collect() for m in d.movements] == ["Short", "Short"]
+    with pytest.raises(FileNotFoundError):
+        cli.main(["build", "run", "--chunks", at("none"), "--work-dir", at("w")], spark)
+
+
 def test_groups_are_those_of_one_pass_in_order(spark):
     import random
 
@@ -199,15 +217,23 @@ def test_streaming_gives_the_batch_result(spark, tmp_path):
     from kronika.config import ChunkSpec
     from kronika.operators.chunking import chunk_books
     from kronika.operators.cleaning import clean
-    from kronika.streaming.ingest import ingest, read_pages
+    from kronika.streaming.ingest import chunk_new, ingest, latest, read_pages
 
-    folder = tmp_path / "in"
+    folder, table, chunks = tmp_path / "in", str(tmp_path / "pages"), str(tmp_path / "chunks")
     folder.mkdir()
     rows = [{"book": b, "page_number": n, "text": " ".join(f"{b}{n}w{i}" for i in range(7))} for b in "xy" for n in range(1, 6)]
-    for part in (rows[:4], rows[4:]):
-        (folder / f"{len(list(folder.iterdir()))}.json").write_text("\n".join(map(json.dumps, part)))
-        q = ingest(read_pages(spark, str(folder)), str(tmp_path / "pages"), str(tmp_path / "chunks"), str(tmp_path / "state"), ChunkSpec(5, 1))
-        q.awaitTermination()
-    want = chunk_books(clean(spark.createDataFrame([(r["book"], r["page_number"], r["text"]) for r in rows], "book string, page_number int, text string")), ChunkSpec(5, 1))
+    again = {"book": "y", "page_number": 2, "text": "a new text"}
+    touched = []
+    for part in (rows[:4], rows[4:], [again], []):
+        if part:
+            (folder / f"{len(list(folder.iterdir()))}.json").write_text("\n".join(map(json.dumps, part)))
+        ingest(read_pages(spark, str(folder)), table, str(tmp_path / "state")).awaitTermination()
+        touched.append(chunk_new(spark, table, chunks, ChunkSpec(5, 1)))
+    assert touched == [1, 2, 1, 0] and latest(spark, table).count() == 10
+    last = {(r["book"], r["page_number"]): r["text"] for r in [*rows, again]}
+    want = chunk_books(clean(spark.createDataFrame([(*k, t) for k, t in last.items()], "book string, page_number int, text string")), ChunkSpec(5, 1))
     key = lambda df: sorted((r.book, r.chunk_id, r.text) for r in df.collect())
-    assert key(spark.read.parquet(str(tmp_path / "chunks"))) == key(want)
+    assert key(spark.read.parquet(chunks)) == key(want)
+    (folder / "bad.json").write_text(json.dumps({"book": "x", "text": "t"}))
+    with pytest.raises(Exception, match="neither page_number nor page"):
+        ingest(read_pages(spark, str(folder)), table, str(tmp_path / "state")).awaitTermination()

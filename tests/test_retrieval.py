@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from kronika.config import Profile, profile
 from kronika.models import OverlapReranker
 from kronika.operators import retrieval as R
-from kronika.plans.engine import Engine, Service, build_index
+from kronika.plans.engine import Engine, Service, build_index, current
 from kronika.models import ScriptedLLM
 from kronika.sources import files as S
 import pytest
@@ -70,13 +70,16 @@ def test_engine_and_service(spark, tmp_path):
     df = chunks(spark, [("b1", i, [i, i + 1], t, 5) for i, t in enumerate(texts, 1)] + [("b2", 1, None, "Drugo.", 1)] * 2)
     path = str(tmp_path / "index")
     assert build_index(df, path) == (6, 0) and build_index(df, path) == (0, 6)
+    changed = df.where("book = 'b1' and chunk_id = 2").withColumn("text", F.lit("Most je obnovljen."))
+    assert build_index(changed, path) == (1, 0) and build_index(changed, path) == (0, 1)
     index = spark.read.parquet(path)
+    assert index.count() == 7 and [r["text"] for r in current(index).where("book = 'b1' and chunk_id = 2").collect()] == ["Most je obnovljen."]
     e = Engine(index, "b1")
     found = e.retrieve("Kada je osnovana brigada?", 2, 12, True)
     assert found.chunk_ids[0] == 1 and "pages: pp. 1-2" in found.context and found.summaries[0].startswith("[1] chunk_id=1 pp. 1-2 :: ")
     assert e.retrieve("brigada osnovana", 2, 12, False).chunk_ids[0] == 1
     meta = spark.createDataFrame([("b1", "  ", None), ("b2", "Naslov", "x.pdf")], "book string, book_title string, source_pdf string")
-    s = Service(index, S.catalog(df, meta), {"x": lambda: ScriptedLLM("yes")})
+    s = Service(index, S.catalog(df, meta), {"x": lambda model: ScriptedLLM("yes")})
     assert [(b["slug"], b["title"], b["chunk_count"]) for b in s.books()["books"]] == [("b1", "b1", 5), ("b2", "Naslov", 1)]
     r = s.chat({"book_slug": "b1", "question": "brigada?", "provider": "x"})
     assert r["answer"] == "yes" and r["mode"] == "answer"
@@ -86,6 +89,32 @@ def test_engine_and_service(spark, tmp_path):
         assert error.value.status == status
 
 
+def test_server(spark, tmp_path):
+    import json
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from kronika.plans.server import server
+
+    path = str(tmp_path / "index")
+    df = chunks(spark, [("b1", 1, [1], "Prva brigada.", 2)])
+    build_index(df, path)
+    meta = spark.createDataFrame([], S.METADATA)
+    s = server(Service(spark.read.parquet(path), S.catalog(df, meta), {}), port=0)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{s.server_port}/api/"
+    try:
+        assert json.load(urllib.request.urlopen(at + "books"))["books"][0]["slug"] == "b1"
+        ask = lambda body: json.load(urllib.request.urlopen(urllib.request.Request(at + "chat", json.dumps(body).encode())))
+        assert ask({"book_slug": "b1", "question": "brigada", "retrieve_only": True})["chunk_ids"] == [1]
+        with pytest.raises(urllib.error.HTTPError) as error:
+            ask({"book_slug": "b1"})
+        assert error.value.code == 422
+    finally:
+        s.shutdown()
+
+
 def test_profiles():
     assert profile(fast=True).skip_rerank and profile(deep=True).candidate_k == 60 and Profile().branch_limit == 80
     with pytest.raises(ValueError):
