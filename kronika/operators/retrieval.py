@@ -25,6 +25,9 @@ FEATURES = [
 
 #: Rows of a block in a search for many queries, and queries of it that are scored at once.
 BLOCK_ROWS, QUERIES = 20_000, 64
+#: Questions that go over the texts in one pass.
+QUESTIONS = 2_000
+_TOKENS = re.compile(r"\w+")
 
 
 def plain_tokens(text: str) -> list[str]:
@@ -125,6 +128,100 @@ def lexical_topk(featured: DataFrame, question: str, limit: int, key: str = "chu
     return s.orderBy(F.desc("lexical_raw"), F.asc(key)).limit(limit)
 
 
+class _Questions:
+    """Many questions as arrays: which of them ask for a term, or a pair of neighbouring terms, and how often."""
+
+    def __init__(self, rows: list[tuple[int, str]], vocabulary: Vocabulary) -> None:
+        self.ids = np.array([i for i, _ in rows], dtype=np.int64)
+        terms: dict[str, dict[int, float]] = {}
+        pairs: dict[str, dict[str, dict[int, float]]] = {}
+        self.whole: list[tuple[int, str, float]] = []
+        for q, (_, question) in enumerate(rows):
+            every = search_terms(question, vocabulary)
+            own = [t for t in plain_tokens(question) if len(t) >= 3]
+            if not own:
+                continue
+            for t in every:
+                at = terms.setdefault(t, {})
+                at[q] = at.get(q, 0.0) + 1.0
+            for a, b in zip(every, every[1:]):
+                at = pairs.setdefault(a, {}).setdefault(b, {})
+                at[q] = at.get(q, 0.0) + 1.5
+            if len(whole := plain_normalize(question)) >= 12:
+                # a text that holds the question has all of its words but for those at its ends, which may be parts of longer ones
+                self.whole.append((q, whole, float(len(own) - own.count(own[0]) - own.count(own[-1]))))
+        pack = lambda d: (np.array(list(d)), np.array(list(d.values())))
+        self.terms = {t: pack(d) for t, d in terms.items()}
+        self.pairs = {a: {b: pack(d) for b, d in x.items()} for a, x in pairs.items()}
+        self.ends = {a[-3:] for a in self.pairs}
+
+    def scores(self, text: str | None) -> np.ndarray:
+        norm = plain_normalize(text or "")
+        out = np.zeros(len(self.ids))
+        for t in set(_TOKENS.findall(norm)).intersection(self.terms):
+            at, times = self.terms[t]
+            out[at] += times
+        whole = [(q, w) for q, w, least in self.whole if out[q] >= least]
+        found = set()
+        parts = norm.split(" ")
+        for x, y in zip(parts, parts[1:]):
+            if x[-3:] in self.ends:
+                for i in range(len(x) - 2):
+                    for b in self.pairs.get(x[i:], ()):
+                        if y.startswith(b):
+                            found.add((x[i:], b))
+        for a, b in found:
+            at, times = self.pairs[a][b]
+            out[at] += times
+        for q, w in whole:
+            if w in norm:
+                out[q] += 2.0
+        return out
+
+
+def lexical_topk_batch(
+    texts: DataFrame, questions: DataFrame, limit: int, key: str = "chunk_id", vocabulary: Vocabulary = Vocabulary(), block: int = QUESTIONS
+) -> DataFrame:
+    """`lexical_topk` for every row of `questions(query_id, question)` over `texts(key, text)`: `(query_id, key, lexical_raw, lexical_rank)`.
+
+    Questions go with the tasks in blocks of about `block`, one pass over the texts for each block, so that texts are never moved;
+    a task keeps the `limit` best of each question. Rows without an id are left out, null questions find nothing. Of a
+    question or text given twice the better score counts.
+    """
+    asked = questions.where("query_id is not null and question is not null").select(F.col("query_id").cast("bigint").alias("q"), "question")
+    rows = texts.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), "text")
+    blocks = max(1, -(-asked.count() // block))
+
+    def one(n: int) -> DataFrame:
+        mine = _Questions([tuple(r) for r in asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == n).orderBy("q", "question").collect()], vocabulary)
+
+        def search(batches):
+            best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(mine.ids)
+            for b in batches:
+                ids, t = b.column("id").to_numpy(), b.column("text").to_pylist()
+                for lo in range(0, len(ids), 512):
+                    m = np.array([mine.scores(x) for x in t[lo : lo + 512]]).reshape(len(t[lo : lo + 512]), len(mine.ids))
+                    for q in np.flatnonzero(m.max(axis=0) > 0) if m.size else ():
+                        at = np.flatnonzero(m[:, q] > 0)
+                        i, s = np.append(best[q][0], ids[lo + at]), np.append(best[q][1], m[at, q])
+                        keep = np.lexsort((i, -s))
+                        _, first = np.unique(i[keep], return_index=True)
+                        keep = keep[np.sort(first)[:limit]]
+                        best[q] = (i[keep], s[keep])
+            n = [len(i) for i, _ in best]
+            cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(mine.ids, n), pa.int64()), pa.array(cat([i for i, _ in best], np.int64), pa.int64()), pa.array(cat([s for _, s in best], float), pa.float64())],
+                names=["query_id", "id", "lexical_raw"],
+            )
+
+        return rows.mapInArrow(search, "query_id bigint, id bigint, lexical_raw double")
+
+    near = reduce(DataFrame.unionByName, [one(n) for n in range(blocks)]).groupBy("query_id", "id").agg(F.max("lexical_raw").alias("lexical_raw"))
+    ranked = near.withColumn("lexical_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lexical_raw"), "id")))
+    return ranked.where(F.col("lexical_rank") <= limit).select("query_id", F.col("id").alias(key), "lexical_raw", "lexical_rank")
+
+
 def cosine_distance(vector: Column, query: list[float]) -> Column:
     """1 - cosine, in doubles; a zero vector has distance 1."""
     q = F.array(*[F.lit(float(x)) for x in query])

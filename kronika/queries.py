@@ -65,6 +65,11 @@ def _query_vectors(s, d):
     return _t(s, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
+def _questions(s, d):
+    """Titles as questions, of every document whose id is divisible by 100."""
+    return _t(s, d, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("title").alias("question"))
+
+
 def _hybrid(s, d):
     return R.hybrid_topk(_passages(s, d), _vectors(s, d), QUESTION, _query_vector(s, d), PROFILE, key="doc_id")
 
@@ -120,6 +125,7 @@ def queries() -> dict[str, Query]:
         "query_intent": lambda s, d: R.with_intent(_t(s, d, "eval_items").select("item_id", "item_text"), "item_text").drop("item_text"),
         "metadata_boost": lambda s, d: _documents(s, d).select("doc_id", *[F.round(R.boost_for({k: True}), 6).alias(k) for k in [*C.INTENT_TERMS, *C.INTENT_SUBSTRINGS]]),
         "lexical_topk": lambda s, d: R.lexical_topk(_documents(s, d), QUESTION, 80, "doc_id").select("doc_id", F.col("lexical_raw").alias("score")),
+        "lexical_topk_batch": lambda s, d: R.lexical_topk_batch(_t(s, d, "documents"), _questions(s, d), 80, "doc_id").withColumnRenamed("lexical_raw", "score"),
         "vector_topk": lambda s, d: R.vector_topk(_vectors(s, d), _query_vector(s, d), 80, "doc_id").select("doc_id", r6("distance"), "semantic_rank"),
         "vector_topk_batch": lambda s, d: R.vector_topk_batch(_vectors(s, d), _query_vectors(s, d), 80, "doc_id").select("query_id", "doc_id", r6("distance"), "semantic_rank"),
         "hybrid_topk": lambda s, d: _hybrid(s, d).select("doc_id", "rank", "semantic_rank", *map(r6, ("distance", "semantic_score", "lexical_score", "metadata_boost", "combined_score"))),
@@ -154,10 +160,11 @@ def _embedded(chunks: DataFrame) -> DataFrame:
     def run(frames):
         model = HashingEmbedder()
         for f in frames:
-            f["norm"] = [round(sum(x * x for x in v), 6) for v in model.encode(f["text"].fillna("").tolist())]
-            yield f[["book", "chunk_id", "norm"]]
+            f["vector"] = [[round(x, 6) for x in v] for v in model.encode(f["text"].fillna("").tolist())]
+            yield f[["book", "chunk_id", "vector"]]
 
-    return chunks.select("book", "chunk_id", "text").mapInPandas(run, "book string, chunk_id int, norm double")
+    v = chunks.select("book", "chunk_id", "text").mapInPandas(run, "book string, chunk_id int, vector array<double>")
+    return v.withColumn("vector", F.array_join(F.transform("vector", lambda x: F.format_string("%.4f", x)), " "))
 
 
 # ---------------------------------------------------------------- SQL
@@ -171,6 +178,10 @@ def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _map(table: dict[str, tuple[str, ...]]) -> str:
+    return "map {" + ", ".join(f"{_q(k)}: [{', '.join(map(_q, v))}]" for k, v in table.items()) + "}"
+
+
 def _any(x: str, words) -> str:
     return "(" + " OR ".join(f"contains({x}, {_q(w)})" for w in words) + ")"
 
@@ -390,6 +401,19 @@ def oracle_sql() -> dict[str, str]:
         "query_intent": rf"SELECT item_id, {', '.join(f'list_has_any(ws, [{", ".join(map(_q, w))}]) AS {k}' for k, w in C.INTENT_TERMS.items())}, contains(n, 'brac') AS brach_topic FROM (SELECT item_id, {_n('item_text')} AS n, regexp_extract_all({_n('item_text')}, '[\p{{L}}\p{{N}}_]+') AS ws FROM eval_items)",
         "metadata_boost": f"WITH {_DOCS} SELECT doc_id, {', '.join(f'round({_boost_sql({k: True})}, 6) AS {k}' for k in [*C.INTENT_TERMS, *C.INTENT_SUBSTRINGS])} FROM featured",
         "lexical_topk": f"WITH {_DOCS}, {_lexical_sql(QUESTION).replace("{limit}", "80")} SELECT * FROM lex",
+        "lexical_topk_batch": rf"""
+            WITH q AS (SELECT DISTINCT doc_id AS query_id, {_n('title')} AS whole, list_filter(regexp_extract_all({_n('title')}, '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) >= 3) AS own
+                FROM documents WHERE doc_id % 100 = 0 AND title IS NOT NULL),
+            p AS (SELECT query_id, whole, own || flatten(list_transform(own, lambda x: coalesce({_map(C.EXPANSIONS)}[x], []))) AS terms FROM q WHERE len(own) > 0),
+            t AS (SELECT doc_id, n, list_distinct(regexp_extract_all(n, '[\p{{L}}\p{{N}}_]+')) AS ws FROM (SELECT doc_id, {_n("coalesce(text, '')")} AS n FROM documents)),
+            s AS (SELECT query_id, doc_id, len(list_filter(terms, lambda x: list_contains(ws, x))) + CASE WHEN length(whole) >= 12 AND contains(n, whole) THEN 2 ELSE 0 END
+                + 1.5::DOUBLE * len(list_filter(range(1, len(terms)), lambda i: contains(n, terms[i] || ' ' || terms[i + 1]))) AS score FROM p, t)
+            SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS lexical_rank FROM s WHERE score > 0 QUALIFY lexical_rank <= 80""",
+        "rerank_topk": rf"""
+            WITH {_HYBRID}, r AS (
+                SELECT doc_id, rank, len(list_filter([{", ".join(map(_q, sorted(set(R.plain_tokens(QUESTION)))))}], lambda x: list_contains(regexp_extract_all({_n("coalesce(text, '')")}, '[\p{{L}}\p{{N}}_]+'), x)))
+                    / {len(set(R.plain_tokens(QUESTION)))}::DOUBLE AS s FROM fused)
+            SELECT doc_id, row_number() OVER (ORDER BY s DESC, rank)::INT AS rank, round(s, 6) AS rerank_score FROM r QUALIFY row_number() OVER (ORDER BY s DESC, rank) <= {PROFILE.top_k}""",
         "vector_topk": f"WITH {_SEM.replace("{limit}", "80")} SELECT doc_id, round(distance, 6) AS distance, semantic_rank FROM sem",
         "vector_topk_batch": """
             WITH v AS (SELECT DISTINCT vec_id AS doc_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),

@@ -65,6 +65,20 @@ def test_every_query_of_a_batch_gets_what_it_gets_alone(spark):
         assert sorted((x.query_id, x.semantic_rank, x.chunk_id, x.distance) for x in r) == [(1, 1, 1, 0.0), (1, 2, 6, 0.0), (1, 3, 2, 1.0), (4, 1, 4, 0.0)]
 
 
+def test_many_questions_find_what_each_finds_alone(spark):
+    rows = [("b", i, [1], t, 1) for i, t in enumerate(["Prva brigada je formirana u selu Vis.", "brigada brigade", None, "", "kada je formirana brigada? Vis, more", "Kada je formirana brigada", "u selu viski"], 1)]
+    asked = [(100, "Kada je formirana brigada"), (200, "selu Vis"), (300, None), (400, "u i"), (None, "brigada"), (500, "brigada brigada")]
+    q = spark.createDataFrame(asked, "query_id bigint, question string")
+    df = chunks(spark, rows + rows[:2])
+    got = {}
+    for r in R.lexical_topk_batch(df, q, 3, block=2).collect():
+        got.setdefault(r.query_id, {})[r.lexical_rank] = (r.chunk_id, r.lexical_raw)
+    once = R.with_features(chunks(spark, rows))
+    want = {i: {n: (r.chunk_id, r.lexical_raw) for n, r in enumerate(R.lexical_topk(once, t, 3).collect(), 1)} for i, t in asked if i and t}
+    assert got == {i: x for i, x in want.items() if x} and set(got) == {100, 200, 500}
+    assert R.lexical_topk_batch(df.limit(0), q, 3).count() == R.lexical_topk_batch(df, q.limit(0), 3).count() == 0
+
+
 def test_engine_and_service(spark, tmp_path):
     texts = ["Prva brigada je osnovana u selu.", "Most je srušen u noći.", "Brigada je krenula prema obali.", None, ""]
     df = chunks(spark, [("b1", i, [i, i + 1], t, 5) for i, t in enumerate(texts, 1)] + [("b2", 1, None, "Drugo.", 1)] * 2)
