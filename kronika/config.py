@@ -186,6 +186,11 @@ UNIT_MOVES = (
     "embarked", "disposition", "reserve", "concentrat", "relief", "redistribution", "march", "movement", "position",
     "holding positions", "stationed", "garrisoned",
 )
+FORMED = ("formation", "formiranje")
+REORGANISED = ("reorganisation", "reorganization", "redesignated")
+BRIGADE, DIVISION = ("brigade", "brigada"), ("division", "divizija")
+OTHER_FORMATION = ("redesignated", "redesignation", "formation of 26th division", "formed the 26th division")
+CASUALTIES = "casualt"
 PLACE_STOPWORDS = ("island", "otok", "area", "near", "sector", "coast", "mainland", "the", "and", "of", "at")
 
 

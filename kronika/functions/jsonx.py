@@ -16,7 +16,3 @@ def json_object_text(raw: Column) -> Column:
     mended = F.regexp_replace(text, r",(\s*[}\]])", "$1")
     ok = lambda t: F.try_parse_json(t).isNotNull()
     return F.when(ok(text), text).when(ok(mended), mended)
-
-
-def to_double(value: Column) -> Column:
-    return value.try_cast("double")

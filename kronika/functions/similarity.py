@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kronika.functions import text as T
 
 
 def plain_normalize(text: str | None) -> str:
@@ -27,14 +26,14 @@ def ratio(left: str | None, right: str | None) -> float:
     return plain_ratio(plain_normalize(left), plain_normalize(right))
 
 
+def alike(left: str | None, right: str | None, least: float) -> bool:
+    """Whether the ratio reaches `least`; the cheap upper bounds, by length and by letters, are asked first."""
+    m = SequenceMatcher(None, plain_normalize(left), plain_normalize(right))
+    return m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least
+
+
 def text_similarity(left: Column, right: Column) -> Column:
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
     return F.pandas_udf(run, "double")(left, right)
-
-
-def ratio_bound(left: Column, right: Column) -> Column:
-    """No similarity is above this; native, so pairs that can't reach a threshold never go to Python."""
-    a, b = F.length(T.normalize(F.coalesce(left, F.lit("")))), F.length(T.normalize(F.coalesce(right, F.lit(""))))
-    return F.when(a + b == 0, F.lit(1.0)).otherwise(2.0 * F.least(a, b) / (a + b))

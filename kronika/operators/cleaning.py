@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from kronika.functions import text as T
 
 # What a footnote, an inline footnote, a page number and a heading look like.
-_START = r"\s*(?:\^?\s*)?(?:\d{1,2}|I\d{1,2})[a-z]?[)\.'\"]\s+[A-ZČĆŽŠĐ]"
-FOOTNOTE = "^" + _START
+FOOTNOTE = r"^\s*(?:\^?\s*)?(?:\d{1,2}|I\d{1,2})[a-z]?[)\.'\"]\s+[A-ZČĆŽŠĐ]"
 INLINE = r"^(.{40,}?[.!?\"'])\s*((?:\d{1,2}|I\d{1,2})[a-z]?[)\.'\"]\s+[A-ZČĆŽŠĐ].*)$"
 PAGE_NUMBER = r"(?U)^\s*\d+\s*\z"
 HEADING = r"^[A-ZČĆŽŠĐ0-9 .,:;()\-\"«»]+\z"

@@ -306,9 +306,9 @@ def _relevant_sql() -> str:
 _RULES = f"""{_EVENTS},
     t AS (SELECT *, {_BLOB} AS b, {_n("operation")} AS o, {_BOTH} AS c FROM ev),
     k AS (SELECT *, {_any("b", C.COMBAT)} AS combat, {_any("o", C.COMBAT)} AS op_combat,
-        {_any("c", ["formation", "formiranje"])} AND NOT ({_any("c", ["division", "divizija"])} AND {_any("c", ["redesignated", "redesignation", "formation of 26th division", "formed the 26th division"])})
-            AND {_any("c", ["brigade", "brigada"])} AS formation,
-        CASE WHEN {_any("c", ["formation", "formiranje"])} THEN 0 WHEN {_any("c", ["reorganisation", "reorganization", "redesignated"])} THEN 1 ELSE 2 END AS priority
+        {_any("c", C.FORMED)} AND NOT ({_any("c", C.DIVISION)} AND {_any("c", C.OTHER_FORMATION)})
+            AND {_any("c", C.BRIGADE)} AS formation,
+        CASE WHEN {_any("c", C.FORMED)} THEN 0 WHEN {_any("c", C.REORGANISED)} THEN 1 ELSE 2 END AS priority
         FROM t)"""
 
 _MERGED = f"""{_EVENTS},
@@ -443,7 +443,7 @@ def oracle_sql() -> dict[str, str]:
                 CASE WHEN regexp_matches(before, '^\d{{4}}-\d{{2}}-\d{{2}}$') THEN before[1:4]::INT * 372 + before[6:7]::INT * 31 + before[9:10]::INT END AS b FROM l)
             SELECT book, ord, abs(b - a)::INT AS days FROM n WHERE before IS NOT NULL""",
         "final_document": f"""
-            WITH {_MERGED}, y AS (SELECT *, CASE WHEN {_any("c", ["formation", "formiranje"])} THEN 0 WHEN {_any("c", ["reorganisation", "reorganization", "redesignated"])} THEN 1 ELSE 2 END AS k FROM (SELECT *, {_BOTH} AS c FROM x)),
+            WITH {_MERGED}, y AS (SELECT *, CASE WHEN {_any("c", C.FORMED)} THEN 0 WHEN {_any("c", C.REORGANISED)} THEN 1 ELSE 2 END AS k FROM (SELECT *, {_BOTH} AS c FROM x)),
             g AS (SELECT book, count(*)::INT AS events, md5(string_agg(d || '|' || place || '|' || operation || '|' || division || '|' || notes, chr(10) ORDER BY d, k, place, operation, ord)) AS hash FROM y GROUP BY book),
             n AS (SELECT book, string_agg(division, ' | ' ORDER BY movement_id) AS n FROM movements WHERE division IS NOT NULL AND {_strip('division')} <> '' GROUP BY book)
             SELECT book, 'x' AS brigade_name, events, hash, coalesce(n, '') AS notes, 'movements' AS source FROM g LEFT JOIN n USING (book)""",
