@@ -203,7 +203,9 @@ def endings(documents: DataFrame) -> DataFrame:
     on = places.where("next is not null").select(F.col("sha").alias("other"), "key", "next", "more", "n")
     goes = F.col("next").startswith(F.col("last")) & (F.col("more") | (F.length("next") > F.length("last")))
     fits = F.least("m", "n") >= F.lit(SIMILAR) * F.greatest("m", "n") - 1  # one less for shingles of the same sum
-    pairs = durable(ends.join(on, "key").where((F.col("id") != F.col("other")) & goes & fits).select("id", "other").distinct())
+    # first the ways in which any text goes on there, which are few where many copies end alike; then the texts that go on so
+    ways = ends.join(on.select("key", "next", "more").distinct(), "key").where(goes)
+    pairs = durable(ways.join(on, ["key", "next", "more"]).where((F.col("id") != F.col("other")) & fits).select("id", "other").distinct())
     matched = pairs.join(once.select(F.col("sha").alias("id"), F.col("t").alias("a")), "id").join(once.select(F.col("sha").alias("other"), F.col("t").alias("b")), "other")
     cut = _goes_on(matched.select("id", "a", "b")).where("aligned").select(F.col("id").alias("sha")).distinct()
     aligned = held.join(cut, "sha", "left_semi").select("id", F.lit(True).alias("aligned")).distinct()
