@@ -8,6 +8,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import re
 from typing import Protocol
 
 from kronika.operators.retrieval import plain_tokens
@@ -73,6 +74,26 @@ class EchoLLM:
         return json.dumps({"movements": [], "notes": []})
 
 
+class ChunkLLM:
+    """Stand-in for extraction: one record for each chunk that the prompt names, with its pages."""
+
+    def generate(self, system: str, user: str, max_tokens: int = 1600) -> str:
+        found = re.findall(r"^CHUNK (-?\d+)\nPAGES: ([^\n]*)$", user, re.M)
+        made = [
+            {"date": "1943-01-01", "place": f"P{n}", "operation": f"Attack {n}", "source_chunk_ids": [int(n)], "source_pages": [int(p) for p in pages.split(", ") if p]}
+            for n, pages in found
+        ]
+        return "```json\n" + json.dumps({"movements": made, "notes": [f"{len(made)} chunks"]}) + "\n```"
+
+
+class PassingLLM:
+    """Stand-in for verification: gives the records of the prompt back as they are."""
+
+    def generate(self, system: str, user: str, max_tokens: int = 1600) -> str:
+        records, _ = json.JSONDecoder().raw_decode(user[user.index("Records:") + len("Records:") :].lstrip())
+        return json.dumps({"movements": records, "notes": []}, ensure_ascii=False)
+
+
 # ---------------------------------------------------------------- what a site may have installed
 
 

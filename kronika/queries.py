@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from kronika import config as C
 from kronika.functions import jsonx, similarity
 from kronika.functions import text as T
-from kronika.models import HashingEmbedder, OverlapReranker
+from kronika.models import ChunkLLM, HashingEmbedder, OverlapReranker, PassingLLM
 from kronika.operators import chunking, cleaning, validation
 from kronika.operators import events as E
 from kronika.operators import retrieval as R
+from kronika.operators.order import chunk_once
+from kronika.plans import campaign, engine
+from kronika.session import scratch
 from kronika.sources import files as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,6 +102,43 @@ def _pairs(s, d):
     return e.select("book", "ord", "date", "operation", F.lag("date").over(w).alias("before"), F.lag("operation").over(w).alias("op_before")).where("before is not null")
 
 
+def _round_trip(s, d):
+    """Pages written as JSON lines and read again."""
+    at = scratch(s, "pages")
+    S.write_jsonl(_pages(s, d).withColumnRenamed("page_number", "page"), at)
+    return S.read_jsonl(s, at, S.PAGES).select("book", S.page_number().alias("page_number"), F.md5("text").alias("hash"))
+
+
+def _unnested(s, d):
+    """Events of batch documents, one document for each book and batch."""
+    record = F.struct("date", "place", "operation", "source_chunk_ids")
+    b = _t(s, d, "movements").groupBy("book", "batch_id").agg(F.array_sort(F.collect_list(F.struct("movement_id", record.alias("e")))).alias("x"))
+    e = S.events_of(b.select("book", "batch_id", F.transform("x", lambda x: x["e"]).alias("movements")))
+    return e.select("book", "ord", "date", "place", "operation", F.array_join("source_chunk_ids", ",").alias("chunk_ids"))
+
+
+def _extracted_events(s, d):
+    """All batches of chunks asked for, with a stand-in that names the chunks; the records of the answers."""
+    a = campaign.extract(_t(s, d, "chunks"), scratch(s, "extract"), ChunkLLM, "stand-in", wave=2_000)
+    e = S.events_of(campaign.payloads(a))
+    return e.select("book", F.floor(F.col("ord") / 1_000_000).cast("int").alias("batch_id"), "place", F.array_join("source_chunk_ids", ",").alias("chunk_ids"), F.array_join("source_pages", ",").alias("pages"))
+
+
+def _verified_events(s, d):
+    """All groups of relevant events verified, with a stand-in that lets them pass; what stays after the filter."""
+    v = campaign.verify(_events(s, d), scratch(s, "verify"), PassingLLM, "stand-in", wave=2_000)
+    e = E.relevant(E.normalize(S.events_of(campaign.payloads(v))))
+    return e.select("book", *E.TEXTS, F.col("coordinates.lat").alias("lat"), F.col("coordinates.lng").alias("lng"), F.array_join("source_chunk_ids", ",").alias("chunk_ids"))
+
+
+def _index(s, d):
+    """An index of the chunks of even ids with other texts, brought up to date by all chunks; what holds in it."""
+    at, chunks = scratch(s, "index"), chunk_once(_t(s, d, "chunks").where("book is not null and chunk_id is not null"))
+    engine.build_index(chunks.where("chunk_id % 2 = 0").withColumn("text", F.lower("text")), at)
+    engine.build_index(chunks, at)
+    return engine.current(s.read.parquet(at)).select("book", "chunk_id", F.md5(F.coalesce("text", F.lit(""))).alias("hash"), "page_start", "page_end")
+
+
 def queries() -> dict[str, Query]:
     r6 = lambda c: F.round(c, 6).alias(c)
     return {
@@ -151,6 +191,7 @@ def queries() -> dict[str, Query]:
             E.exact_merge(_events(s, d)), _t(s, d, "movements").select("book", F.col("movement_id").alias("ord"), F.col("division").alias("note")).where("note is not null"),
             {"brigade_name": "x"}, "movements",
         ).select("book", "brigade_name", F.size("movements").alias("events"), F.md5(F.array_join(F.transform("movements", lambda x: F.concat_ws("|", x["date"], x["place"], x["operation"], x["division"], x["notes"])), "\n")).alias("hash"), "notes", "source"),
+        "pages_jsonl": _round_trip, "events_unnest": _unnested, "extract_events": _extracted_events, "verify_events": _verified_events, "index_upsert": _index,
         "combine_notes": lambda s, d: _t(s, d, "movements").select("movement_id", T.combine_notes(F.coalesce("division", F.lit("")), F.coalesce("notes", F.lit("")), 200).alias("combined"), T.longer_text(F.col("place"), F.col("operation")).alias("longer")),
         "polish_trim": lambda s, d: _t(s, d, "movements").select("movement_id", T.trim_note(F.coalesce("notes", F.lit("")), limit=240).alias("note"), T.clean_operation(F.coalesce("operation", F.lit("")), 30).alias("title")),
     }
@@ -447,6 +488,17 @@ def oracle_sql() -> dict[str, str]:
             g AS (SELECT book, count(*)::INT AS events, md5(string_agg(d || '|' || place || '|' || operation || '|' || division || '|' || notes, chr(10) ORDER BY d, k, place, operation, ord)) AS hash FROM y GROUP BY book),
             n AS (SELECT book, string_agg(division, ' | ' ORDER BY movement_id) AS n FROM movements WHERE division IS NOT NULL AND {_strip('division')} <> '' GROUP BY book)
             SELECT book, 'x' AS brigade_name, events, hash, coalesce(n, '') AS notes, 'movements' AS source FROM g LEFT JOIN n USING (book)""",
+        "pages_jsonl": "SELECT book, page_number, md5(text) AS hash FROM (SELECT DISTINCT book, page_number, text FROM pages)",
+        "events_unnest": """
+            SELECT book, batch_id::BIGINT * 1000000 + row_number() OVER (PARTITION BY book, batch_id ORDER BY movement_id) - 1 AS ord, date, place, operation,
+                array_to_string(source_chunk_ids, ',') AS chunk_ids FROM movements""",
+        "extract_events": f"""
+            SELECT book, ((row_number() OVER (PARTITION BY book ORDER BY chunk_id) - 1) // 8 + 1)::INT AS batch_id, 'P' || chunk_id AS place, chunk_id::VARCHAR AS chunk_ids,
+                coalesce(array_to_string(source_pages, ','), '') AS pages FROM ({_ONCE}) WHERE chunk_id IS NOT NULL""",
+        "verify_events": f"WITH {_RULES} SELECT book, date, place, operation, division, notes, lat, lng, array_to_string(cids, ',') AS chunk_ids FROM k WHERE {_relevant_sql()}",
+        "index_upsert": f"""
+            SELECT book, chunk_id, md5(coalesce(text, '')) AS hash, coalesce(source_pages[1], -1) AS page_start, coalesce(source_pages[-1], -1) AS page_end
+            FROM ({_ONCE}) WHERE book IS NOT NULL AND chunk_id IS NOT NULL""",
         "combine_notes": f"""
             WITH a AS (SELECT movement_id, place, operation, {_compact("coalesce(division, '')")} AS x, {_compact("coalesce(notes, '')")} AS y FROM movements),
             b AS (SELECT *, CASE WHEN x = '' THEN y WHEN y = '' OR x = y THEN x ELSE x || ' ' || y END AS c FROM a)

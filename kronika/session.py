@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,22 +32,29 @@ def build(master: str = "local[*]", app: str = "kronika", **conf: str) -> SparkS
     return builder.getOrCreate()
 
 
-def durable(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage with a checkpoint in the folder all executors share.
-
-    The folder is the one in `spark.checkpoint.dir`. Only a local session without that setting gets
-    a folder of its own; on a cluster a missing setting is an error, as a machine-local folder would
-    be lost with its machine.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as `spark.checkpoint.dir` names it. Only a local session without that setting
+    gets one of its own; on a cluster a missing setting is an error, as a machine-local folder would be lost with its machine.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
+        folder = os.path.join(tempfile.gettempdir(), f"kronika-checkpoint-{os.getpid()}")
+    return folder
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place for a table in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut the lineage with a checkpoint in the folder all executors share; see `shared_folder`."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
-            folder = os.path.join(tempfile.gettempdir(), f"kronika-checkpoint-{os.getpid()}")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager)
 
 
