@@ -124,8 +124,9 @@ def boost_for(flags: dict[str, bool], vocabulary: Vocabulary = Vocabulary()) ->
 
 def lexical_topk(featured: DataFrame, question: str, limit: int, key: str = "chunk_id", vocabulary: Vocabulary = Vocabulary()) -> DataFrame:
     """Rows with a score above 0, best first, ties by key: a bounded top-k, never a full sort."""
-    s = featured.withColumn("lexical_raw", lexical_score(question, F.col("text_norm"), vocabulary)).where("lexical_raw > 0")
-    return s.orderBy(F.desc("lexical_raw"), F.asc(key)).limit(limit)
+    s = featured.withColumn("lexical_raw", lexical_score(question, F.col("text_norm"), vocabulary))
+    # filtered behind the limit: in front of it, the score and the normal form in it would be worked out for the filter and again
+    return s.orderBy(F.desc("lexical_raw"), F.asc(key)).limit(limit).where("lexical_raw > 0")
 
 
 class _Questions:
