@@ -1,15 +1,17 @@
-"""Problem 6: records that share most of their words, found by T-occurrence search.
+"""Problem 6: records that share most of their words, found by the words they share first.
 
 A record is the set of its words, held as ranks in one order, rarest first. Two sets r and s have a Jaccard
-similarity of t or more exactly when they share T = ceil(t / (1 + t) * (|r| + |s|)) words. Divide and skip: of
-a record's inverted lists the L = ceil(t * |r|) - 1 longest are its long lists, the others its short ones. A
-pair shares a word in the short lists of both, so every record goes to the cells of its short words. There
-the lists of its other short words are merged, with the number of occurrences of each partner; a partner with
-fewer than T - L of them can't be one and is skipped. Only for those that remain the long lists are probed,
-by binary search, and a pair is kept when it reaches T.
-
-A cell never holds more than a bounded number of records: a list above the bound is laid out as blocks,
-and each pair of blocks is a cell of its own. No list, record or partner is left out.
+similarity of t or more exactly when they share T = ceil(t / (1 + t) * (|r| + |s|)) words. The k-th word that such
+a pair shares stands in r behind at most |r| - T others that s lacks, and likewise in s. So every record goes to
+the cells of its |r| - ceil(t * |r|) + 1 first words. There the records with a word are a node. As long as a node
+has many pairs its records are told apart by the next word they share, within those bounds: a node then stands for
+the first k words that its records have in common, and few records share three or four that are not near, however
+common each word is. Records that can reach no other of their node by size are dropped on the way. The pairs of
+nodes that are small, or that a further word doesn't tell apart, are compared: by parities of their words, which
+can only err towards similar, then word by word, and a pair is kept when it reaches T.
+
+A cell never holds more than a bounded number of records of one word: a list above the bound is laid out as
+blocks, and each pair of blocks is a cell of its own. No list, record or partner is left out.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +34,12 @@ from kronika.llm.components import components
 from kronika.session import durable
 
 THRESHOLD = Fraction(3, 5)
-#: Records a cell holds about, and from which a list is laid out in blocks.
-CELL_ROWS = 100_000
-#: Counters of a merge that are open at once, and pairs that are probed at once.
-COUNTERS, PROBES = 1 << 19, 1 << 16
-#: Lists up to this length are not merged: their pairs are few.
-SHORT = 24
+#: Records a cell holds at most of one word, and from which a list is laid out in blocks.
+CELL_ROWS = 400_000
+#: Entries of nodes that are looked at together, pairs that are compared at once, and pairs that are probed at once.
+BATCH, PAIRS, PROBES = 1 << 17, 1 << 19, 1 << 16
+#: A node is told apart by a further word when it has more pairs than so many times the entries this makes.
+LEAF = 4
 #: Words whose ranks travel with the tasks; a larger vocabulary is joined.
 MAX_VOCABULARY = 1 << 20
 #: Groups of exact copies up to this size are written out as pairs.
@@ -45,12 +48,20 @@ EXPAND_COPIES = 1_000
 _WORD = re.compile(r"[^\W_]+")
 
 
+@lru_cache(1 << 18)
+def _words(token: str) -> list[str]:
+    """Words of a stretch of text without white space, in lower case."""
+    if not token.isascii():
+        token = "".join(c for c in unicodedata.normalize("NFKD", token) if not unicodedata.combining(c))
+    return _WORD.findall(token)
+
+
 def words_of(text: str | None) -> list[str]:
     """Distinct runs of letters and digits, in lower case and without combining marks, sorted."""
-    t = (text or "").lower()
-    if not t.isascii():
-        t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
-    return sorted(set(_WORD.findall(t)))
+    words = set()
+    for token in set((text or "").lower().split()):
+        words.update(_words(token))
+    return sorted(words)
 
 
 def texts_of(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -87,96 +98,166 @@ def _ranges(lo: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class _Cell:
-    """Records of one cell, by size; finds the pairs whose first common word is one of the cell's own."""
+    """Records of one cell, by size; finds the pairs whose first common word is one of the cell's own.
 
-    def __init__(self, ids: np.ndarray, block: np.ndarray, flat: np.ndarray, size: np.ndarray, t: Fraction) -> None:
+    Of a record of `size` words the last `held` are here; those before the first of the cell's own are left out."""
+
+    def __init__(self, ids: np.ndarray, block: np.ndarray, flat: np.ndarray, held: np.ndarray, size: np.ndarray, t: Fraction) -> None:
         by = np.lexsort((ids, size))
-        start = np.cumsum(size) - size
-        at, self.owner = _ranges(start[by], size[by])
-        self.flat, self.ids, self.block, self.size = flat[at], ids[by], block[by], size[by]
-        self.start = np.cumsum(self.size) - self.size
-        self.pos = np.arange(len(self.flat)) - self.start[self.owner]
-        self.words, self.number = np.unique(self.flat, return_inverse=True)
-        if len(self.words) < 1 << 16:
-            self.number = self.number.astype(np.uint16)  # sorted by radix
-        self.t, self.short = t, self.size - _least(self.size, t) + 1
-        # two parities of 64 buckets: each bucket that differs stands for a word that only one of two records has
-        mark = self.flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        self.marks = [np.bitwise_xor.reduceat(np.uint64(1) << ((mark >> np.uint64(s)) & np.uint64(63)), self.start) for s in (58, 40)] if len(by) else []
-
-    def possible(self, x: np.ndarray, y: np.ndarray, cross: bool) -> tuple[np.ndarray, np.ndarray]:
-        need = _needed(self.size[x] + self.size[y], self.t)
-        most = self.size[x] + self.size[y] - 2 * need
-        ok = np.ones(len(x), dtype=bool)
-        for m in self.marks:
-            ok &= np.bitwise_count(m[x] ^ m[y]) <= most
-        if cross:
-            ok &= self.block[x] != self.block[y]
-        return x[ok], y[ok]
-
-    def merged(self, rec: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of a list that occur together often enough in the short lists behind its word."""
-        m = len(rec)
+        at, owner = _ranges((np.cumsum(held) - held)[by], held[by])
+        self.number, self.ids, self.block, self.held, self.size = flat[at], ids[by], block[by], held[by], size[by]
+        self.start = np.cumsum(self.held) - self.held
+        self.base = self.start - (self.size - self.held)  # where the first word of all would be
+        if len(flat) and self.number.max() >= MAX_VOCABULARY:
+            self.words, self.number = np.unique(self.number, return_inverse=True)
+        else:
+            self.words = np.arange(self.number.max(initial=0) + 1)
+        self.number = self.number.astype(np.int32)
+        self.t, self.least = t, _least(self.size, t)
+        largest = int(self.size.max(initial=0))
+        self.need = _needed(np.arange(2 * largest + 1), t)
+        self.bits = int(largest).bit_length(), len(by).bit_length(), len(self.words).bit_length()
+        # parities of 128 buckets each: a bucket that differs stands for a word that only one of two records has
+        self.marks = [np.zeros((len(by), 2), dtype=np.uint64) for _ in range(2)]
+        for lo in range(0, len(by), BATCH >> 4):
+            hi = min(len(by), lo + (BATCH >> 4))
+            s, e = self.start[lo], self.start[hi - 1] + self.held[hi - 1]
+            mark = self.number[s:e].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            for marks, shift in zip(self.marks, (57, 36)):
+                bucket = (mark >> np.uint64(shift)) & np.uint64(127)
+                one = np.uint64(1) << (bucket & np.uint64(63))
+                for half in (0, 1):
+                    marks[lo:hi, half] = np.bitwise_xor.reduceat(np.where(bucket >> np.uint64(6) == half, one, np.uint64(0)), self.start[lo:hi] - s)
+
+    def reach(self, size: np.ndarray, missed: np.ndarray) -> np.ndarray:
+        """The largest partner with which a record that shares all but `missed` words can still have enough in common."""
+        p, q = self.t.numerator, self.t.numerator + self.t.denominator
+        return (q * (size - missed) - p * size) // p
+
+    def some(self, rec: np.ndarray, at: np.ndarray, node: np.ndarray, k: int, cross: bool, settled: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of every node that can be near; with `settled` only those for which k words are enough."""
+        edge = np.flatnonzero(_changes(node))
+        before = np.arange(len(node)) - np.repeat(edge, np.diff(np.append(edge, len(node))))
+        size = self.size[rec]
+        far = self.reach(size, at + 1 - k)
+        work = np.cumsum(before)
+        lo = 0
+        while lo < len(rec):
+            hi = max(lo + 1, int(np.searchsorted(work, work[lo] + PAIRS, side="right")))
+            i = np.repeat(np.arange(lo, hi), before[lo:hi])
+            j = _ranges(np.arange(lo, hi) - before[lo:hi], before[lo:hi])[0]
+            m, n = size[i], size[j]
+            ok = (far[j] >= m) & (far[i] >= n)
+            if settled:
+                ok &= self.need[m + n] <= k
+            x, y = rec[i[ok]], rec[j[ok]]
+            if cross:
+                ok = self.block[x] != self.block[y]
+                x, y = x[ok], y[ok]
+            most = self.held[x] + self.held[y] - 2 * self.need[self.size[x] + self.size[y]]
+            for marks in self.marks:
+                differ = np.bitwise_count(marks[x] ^ marks[y])
+                ok = differ[:, 0].astype(np.int64) + differ[:, 1] <= most
+                x, y, most = x[ok], y[ok], most[ok]
+            yield x, y
+            lo = hi
+
+    def level(self, key: np.ndarray, k: int, cross: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """`key`: sorted entries, each a node, a record of it and the place of its k-th word shared there. The records of
+        a node share k words; those of two that can be near are compared when they are few, else told apart by the next."""
+        pb, rb, wb = self.bits
+        at, rec, node = key & ((1 << pb) - 1), (key >> pb) & ((1 << rb) - 1), key >> (pb + rb)
+        new = _changes(node)
+        alone = new.copy()
+        alone[:-1] &= new[1:]
+        at, rec, node = at[~alone], rec[~alone], np.cumsum(new[~alone])
+        if not len(rec):
+            return
+        # the smallest record of the node that reaches this one's size; records are by size
         size = self.size[rec]
-        least = _least(size, self.t)
-        first = np.searchsorted(size, least)  # the smallest partner
-        e, row = _ranges(self.start[rec] + at + 1, self.short[rec] - at - 1)
-        word = self.number[e]
-        by = np.argsort(word, kind="stable")
-        word, row = word[by], row[by]
-        key = word.astype(np.int64) * m + row
-        lo = np.searchsorted(key, word.astype(np.int64) * m + first[row])
-        by = np.argsort(row, kind="stable")  # by the record that asks
-        lo, length, asks = lo[by], by - lo[by], row[by]
-        edge = np.searchsorted(asks, np.arange(m + 1))
-        work = np.concatenate(([0], np.cumsum(length)))[edge]
-        q = 0
-        while q < m:
-            p = min(m, q + max(1, COUNTERS // m))
-            p = max(q + 1, min(p, int(np.searchsorted(work, work[q] + 4 * COUNTERS, side="right")) - 1))
-            a, b = edge[q], edge[p]
-            i, which = _ranges(lo[a:b], length[a:b])
-            count = np.bincount((asks[a:b][which] - q) * p + row[i], minlength=(p - q) * p).reshape(p - q, p)
-            cuts = [q, *(q + 1 + np.flatnonzero(np.diff(size[q:p]))).tolist(), p]
-            for u, v in zip(cuts[:-1], cuts[1:]):
-                # what the two share beyond short lists lies in the long lists of one of them; the larger has more
-                need = _needed(size[u] + size[:v], self.t) - least[u]
-                i, j = np.divmod(np.flatnonzero(count[u - q : v - q, :v] >= need), v)
-                i += u
-                ok = (j < i) & (j >= first[i])
-                yield rec[i[ok]], rec[j[ok]]
-            q = p
-
-    def candidates(self, own: np.ndarray, cross: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """`own`: which entries of short lists make up the lists of this cell."""
-        word, rec, at = self.number[own], self.owner[own], self.pos[own]
-        by = np.lexsort((rec, word))
-        word, rec, at = word[by], rec[by], at[by]
-        edge = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else np.array([], dtype=np.int64)
-        length = np.diff(np.append(edge, len(word)))
-        # lists of few records
-        few = (length > 1) & (length <= SHORT)
-        start, length_few = edge[few], length[few]
-        for lo in range(0, len(start), 4096):
-            e, which = _ranges(start[lo : lo + 4096], length_few[lo : lo + 4096])
-            j, i = _ranges(start[lo : lo + 4096][which], e - start[lo : lo + 4096][which])
-            i = e[i]
-            need = _needed(self.size[rec[i]] + self.size[rec[j]], self.t)
-            ok = np.minimum(self.size[rec[i]] - at[i], self.size[rec[j]] - at[j]) >= need
-            yield self.possible(rec[i[ok]], rec[j[ok]], cross)
-        for s, n in zip(edge[length > SHORT], length[length > SHORT]):
-            for x, y in self.merged(rec[s : s + n], at[s : s + n]):
-                if len(x):
-                    yield self.possible(x, y, cross)
-
-    def pairs(self, own: np.ndarray, mine: Callable[[np.ndarray], np.ndarray], cross: bool) -> Iterator[pa.RecordBatch]:
+        far = self.reach(size, at + 1 - k)
+        wide = 1 << (pb + 2)
+        top = np.maximum.accumulate(node * wide + np.minimum(far, wide - 1))
+        partner = np.minimum(np.searchsorted(top, node * wide + size), len(rec) - 1)
+        low = np.maximum(size[partner], self.least[rec])
+        alive = (far >= low) & (node[partner] == node)
+        at, rec, node, size, low = at[alive], rec[alive], node[alive], size[alive], low[alive]
+        if not len(rec):
+            return
+        new = _changes(node)
+        edge, node = np.flatnonzero(new), np.cumsum(new) - 1
+        length = np.diff(np.append(edge, len(node)))
+        further = np.maximum(np.minimum(size - 1, size - self.need[size + low] + k) - at, 0)
+        pairs = length * (length - 1) / 2
+        split = pairs > LEAF * np.add.reduceat(further, edge)
+        if not split.all():
+            e = np.flatnonzero(~split[node])
+            yield from self.some(rec[e], at[e], node[e], k, cross)
+        e = np.flatnonzero(split[node])
+        if not len(e):
+            return
+        enough = e[self.least[rec[e]] <= k]
+        if len(enough):
+            yield from self.some(rec[enough], at[enough], node[enough], k, cross, settled=True)
+        nodes = np.cumsum(_changes(node[e])) - 1
+        many, first = int(further[e].sum()), edge[split]
+        parts = -(-many // (8 * PAIRS))
+        done = np.zeros(len(first), dtype=bool)
+        for part in range(parts):
+            made = []
+            for lo in range(0, len(e), BATCH):
+                own = e[lo : lo + BATCH]
+                place, which = _ranges(at[own] + 1, further[own])
+                r, n = rec[own][which], nodes[lo : lo + BATCH][which]
+                w = self.number[self.base[r] + place].astype(np.int64)
+                made.append((((n << wb | w) << rb | r) << pb) | place)
+                if parts > 1:
+                    made[-1] = made[-1][(w % parts == part) & ~done[n]]
+            child = np.sort(np.concatenate(made))
+            # a node whose records share the next words, too, is not told apart by them
+            child_node = child >> (pb + rb)
+            start = np.flatnonzero(_changes(child_node))
+            count = np.diff(np.append(start, len(child)))
+            left = np.bincount(child_node[start] >> wb, weights=count * (count - 1) / 2, minlength=len(first))
+            alike = ~done & (left * parts > pairs[split] / 2)
+            if alike.any():
+                own = e[alike[nodes]]
+                yield from self.some(rec[own], at[own], node[own], k, cross)
+                done |= alike
+                keep = ~alike[child_node >> wb]
+                child, child_node = child[keep], child_node[keep]
+            yield from self.batches(child, child_node, k + 1, cross)
+
+    def batches(self, key: np.ndarray, node: np.ndarray, k: int, cross: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Whole nodes, about `BATCH` entries and no more nodes than a key has room for."""
+        pb, rb, wb = self.bits
+        edge = np.append(np.flatnonzero(_changes(node)), len(key))
+        room = 1 << max(0, 62 - pb - rb - wb)
+        lo = 0
+        while lo < len(edge) - 1:
+            hi = max(lo + 1, min(lo + room, int(np.searchsorted(edge, edge[lo] + BATCH, side="right")) - 1))
+            part = key[edge[lo] : edge[hi]] & ((1 << (pb + rb)) - 1)
+            part |= np.repeat(np.arange(hi - lo), np.diff(edge[lo : hi + 1])) << (pb + rb)
+            yield from self.level(part, k, cross)
+            lo = hi
+
+    def candidates(self, mine: Callable[[np.ndarray], np.ndarray], cross: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        pb, rb, _ = self.bits
+        before = self.size - self.held
+        at, rec = _ranges(before, np.maximum(self.size - self.least + 1 - before, 0))
+        w = self.number[self.base[rec] + at]
+        own = mine(self.words[w])
+        key = np.sort(((w[own].astype(np.int64) << rb | rec[own]) << pb) | at[own])
+        yield from self.batches(key, key >> (pb + rb), 1, cross)
+
+    def pairs(self, mine: Callable[[np.ndarray], np.ndarray], cross: bool) -> Iterator[pa.RecordBatch]:
         n = len(self.ids)
         held, many = [], 0
 
         def distinct() -> np.ndarray:
             return np.unique(np.concatenate(held)) if held else np.array([], dtype=np.int64)
 
-        for x, y in self.candidates(own, cross):
+        for x, y in self.candidates(mine, cross):
             held.append(x * n + y)
             many += len(x)
             if many > 64 * PROBES:
@@ -185,8 +266,8 @@ class _Cell:
         key = distinct()
         for lo in range(0, len(key), PROBES):
             x, y = key[lo : lo + PROBES] // n, key[lo : lo + PROBES] % n
-            i, a = _ranges(self.start[x], self.size[x])
-            j, b = _ranges(self.start[y], self.size[y])
+            i, a = _ranges(self.start[x], self.held[x])
+            j, b = _ranges(self.start[y], self.held[y])
             v = len(self.words)
             there, wanted = b * v + self.number[j], a * v + self.number[i]
             k = np.searchsorted(there, wanted)
@@ -194,52 +275,116 @@ class _Cell:
             hit = there[k] == wanted
             common = np.bincount(a[hit], minlength=len(x))
             first = np.full(len(x), -1, dtype=np.int64)
-            first[a[hit][::-1]] = self.flat[i[hit][::-1]]  # the first common word names the one cell that reports the pair
-            ok = (common >= _needed(self.size[x] + self.size[y], self.t)) & mine(first)
+            first[a[hit][::-1]] = self.words[self.number[i[hit][::-1]]]
+            ok = (common >= self.need[self.size[x] + self.size[y]]) & mine(first)
             u, w = self.ids[x[ok]], self.ids[y[ok]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.minimum(u, w)), pa.array(np.maximum(u, w)), pa.array(common[ok].astype(np.int32))], names=["a", "b", "common"]
             )
 
 
-def _search(table: pa.Table, t: Fraction, cells: int, hot_from: int, dtype: str) -> pa.Table:
-    column = lambda c: table.column(c).to_numpy()
-    hot, cell, other = (column(c)[0] for c in ("hot", "i", "j"))
-    raw = table.column("ws").combine_chunks()
-    raw = pa.concat_arrays(raw.chunks) if isinstance(raw, pa.ChunkedArray) else raw
-    data = raw.to_pylist()
-    size = np.array([len(x) for x in data], dtype=np.int64) // np.dtype(dtype).itemsize
-    c = _Cell(column("id"), column("block"), np.frombuffer(b"".join(data), dtype).astype(np.int64), size, t)
+def _changes(x: np.ndarray) -> np.ndarray:
+    """Whether each value differs from the one before it."""
+    new = np.ones(len(x), dtype=bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return new
+
+
+def _packed(columns: list[np.ndarray]) -> tuple[int, bytes]:
+    """Whole numbers as bytes, those that don't fit one behind them; compressed, with the length before that."""
+    parts = [np.array([len(c) for c in columns], "<i8").tobytes()]
+    for c in columns:
+        fits = (c >= 0) & (c < 255)
+        parts += [np.where(fits, c, 255).astype(np.uint8).tobytes(), c[~fits].astype("<i8").tobytes()]
+    raw = b"".join(parts)
+    return len(raw), pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(length: int, data: bytes, columns: int) -> list[np.ndarray]:
+    raw = pa.decompress(data, length, codec="zstd", asbytes=True)
+    at, out = 8 * columns, []
+    for n in np.frombuffer(raw, "<i8", columns):
+        c = np.frombuffer(raw, np.uint8, n, at).astype(np.int64)
+        wide = np.flatnonzero(c == 255)
+        at += int(n)
+        c[wide] = np.frombuffer(raw, "<i8", len(wide), at)
+        at += 8 * len(wide)
+        out.append(c)
+    return out
+
+
+def _search(table: pa.Table, t: Fraction, cells: int, hot_from: int) -> pa.Table:
+    hot, cell, other = (table.column(c)[0].as_py() for c in ("hot", "i", "j"))
+    parts = [_unpacked(n.as_py(), data.as_py(), 5) for n, data in zip(table.column("length"), table.column("data"))]
+    ids = np.concatenate([np.cumsum(p[0]) for p in parts])
+    block, held, before, gaps = (np.concatenate([p[c] for p in parts]) for c in range(1, 5))
+    del parts
+    ends = np.cumsum(held)
+    flat = np.cumsum(gaps)
+    flat -= np.repeat(flat[ends - held] - gaps[ends - held], held)
+    c = _Cell(ids, block, flat, held, held + before, t)
     if hot >= 0:
         mine = lambda w: w == hot
     else:
         mine = lambda w: (w >= 0) & (w < hot_from) & (w % cells == cell)
-    own = (c.pos < c.short[c.owner]) & mine(c.flat)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int32())])
-    return pa.Table.from_batches(list(c.pairs(own, mine, hot >= 0 and cell != other)), schema)
-
-
-_SPOTS = "id bigint, digest binary, ws binary, spots array<struct<hot:bigint,i:int,j:int,block:int>>"
-
-
-def _laid_out(ids: list[int], digests: list[bytes], ranks: list[np.ndarray], counts: list[np.ndarray], t: Fraction, cells: int, cell_rows: int, hot_from: int, dtype: str) -> pa.RecordBatch:
-    """Records with the cells of their short words; ranks ascending, counts the lengths of their lists."""
-    spots = []
-    for x, w, df in zip(ids, ranks, counts):
-        n = len(w)
-        k = n - int(_least(np.int64(n), t)) + 1
-        cold = [{"hot": -1, "i": int(c), "j": 0, "block": 0} for c in np.unique(w[:k][w[:k] < hot_from] % cells)]
-        h = int.from_bytes(hashlib.blake2b(x.to_bytes(8, "big", signed=True), digest_size=8).digest(), "big")
-        for word, d in zip(w[:k], df[:k]):
-            if word >= hot_from:
-                blocks = int(-(-d // cell_rows))
-                own = h % blocks
-                cold += [{"hot": int(word), "i": min(b, own), "j": max(b, own), "block": own} for b in range(blocks)]
-        spots.append(cold)
-    kind = pa.list_(pa.struct([("hot", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("block", pa.int32())]))
+    return pa.Table.from_batches(list(c.pairs(mine, hot >= 0 and cell != other)), schema)
+
+
+_LAID = "id bigint, digest binary, ws binary"
+
+
+def _laid_out(ids: list[int], digests: list[bytes], ranks: np.ndarray, size: np.ndarray, dtype: str) -> pa.RecordBatch:
+    """Records as the ranks of their words, ascending; `ranks` of all of them one after another."""
+    edge = np.concatenate(([0], np.cumsum(size))) * np.dtype(dtype).itemsize
+    ws = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(edge.astype(np.int32).tobytes()), pa.py_buffer(ranks.astype(dtype).tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), ws], names=["id", "digest", "ws"])
+
+
+_PLACED = "hot bigint, i int, j int, length bigint, data binary"
+
+
+def _placed(batch: pa.RecordBatch, t: Fraction, cells: int, cell_rows: int, hot: dict[int, int], hot_from: int, lone: int, dtype: str) -> pa.RecordBatch:
+    """Records by the cells of their short words, those of a cell packed into one row; each from its first word of the
+    cell on. `hot`: how many records have each word from `hot_from` on; words below `lone` stand in one record only."""
+    ids, data = batch.column("id").to_numpy(zero_copy_only=False), batch.column("ws").to_pylist()
+    by = np.argsort(ids)
+    ids, data = ids[by], [data[x] for x in by]
+    flat = np.frombuffer(b"".join(data), dtype).astype(np.int64)
+    size = np.array([len(x) for x in data], dtype=np.int64) // np.dtype(dtype).itemsize
+    start = np.cumsum(size) - size
+    at, rec = _ranges(np.zeros(len(size), dtype=np.int64), size - _least(size, t) + 1)
+    word = flat[start[rec] + at]
+    cold = (word < hot_from) & (word >= lone)
+    places, keys = [(word[cold] % cells, rec[cold], at[cold], np.zeros(int(cold.sum()), dtype=np.int64))], [(-1, c, 0) for c in range(cells)]
+    for w in np.unique(word[word >= hot_from]).tolist():
+        e = np.flatnonzero(word == w)
+        blocks = -(-hot[w] // cell_rows)
+        own = np.array([int.from_bytes(hashlib.blake2b(int(x).to_bytes(8, "big", signed=True), digest_size=8).digest(), "big") % blocks for x in ids[rec[e]]])
+        for b in range(blocks):
+            for o in np.unique(own).tolist():
+                k = own == o
+                places.append((np.full(int(k.sum()), len(keys)), rec[e[k]], at[e[k]], own[k]))
+                keys.append((w, int(min(o, b)), int(max(o, b))))
+    cell, rec, at, block = (np.concatenate(x) for x in zip(*places))
+    by = np.lexsort((at, rec, cell))
+    by = by[_changes(cell[by]) | _changes(rec[by])]
+    cell, rec, at, block = cell[by], rec[by], at[by], block[by]
+    held = size[rec] - at
+    words, _ = _ranges(start[rec] + at, held)
+    gaps = flat[words]
+    gaps[1:] -= flat[words[:-1]]
+    first = np.cumsum(held) - held
+    gaps[first] = flat[words[first]]
+    edge = np.append(np.flatnonzero(_changes(cell)), len(cell))
+    rows = []
+    for lo, hi in zip(edge[:-1], edge[1:]):
+        own = slice(first[lo], first[hi - 1] + held[hi - 1])
+        rows.append((*keys[cell[lo]], *_packed([np.diff(ids[rec[lo:hi]], prepend=0), block[lo:hi], held[lo:hi], at[lo:hi], gaps[own]])))
+    hots, i, j, length, data = zip(*rows) if rows else ((),) * 5
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array([w.astype(dtype).tobytes() for w in ranks], pa.binary()), pa.array(spots, kind)],
-        names=["id", "digest", "ws", "spots"],
+        [pa.array(hots, pa.int64()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(length, pa.int64()), pa.array(data, pa.binary())],
+        names=["hot", "i", "j", "length", "data"],
     )
 
 
@@ -271,29 +416,34 @@ def similar_sets(
     one = first.where("id is not null").groupBy("id").agg(F.min("digest").alias("digest"))
     rep = one.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     members = durable(one.join(rep, "digest"))
-    classes = members.where("id = rep").select("id", "digest")
+    classes = members.where("id = rep").select("id")
     vocabulary = durable(first.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")))
     spark = sets.sparkSession
-    cells = max(spark.sparkContext.defaultParallelism, -(-classes.count() * 8 // cell_rows))
+    cells = max(spark.sparkContext.defaultParallelism, -(-classes.count() * 32 // cell_rows))
     known = vocabulary.count()
     if known <= max_vocabulary:
         order = sorted((r["n"], r["word"]) for r in vocabulary.collect())
         rank = {w: i for i, (_, w) in enumerate(order)}
         frequency = np.array([n for n, _ in order], dtype=np.int64)
-        hot_from, dtype = int(np.searchsorted(frequency, cell_rows, side="right")), "<u2" if known < 1 << 16 else "<u4"
+        lone, hot_from = (int(np.searchsorted(frequency, n, side="right")) for n in (1, cell_rows))
+        hot, dtype = dict(enumerate(frequency[hot_from:].tolist(), hot_from)), "<u2" if known < 1 << 16 else "<u4"
 
         def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 kept = [(i, w) for i, w in zip(b.column("id").to_pylist(), _sets(b)) if w]
-                ranks = [np.sort(np.array([rank[x] for x in w], dtype=np.int64)) for _, w in kept]
-                yield _laid_out([i for i, _ in kept], [_digest(w) for _, w in kept], ranks, [frequency[r] for r in ranks], threshold, cells, cell_rows, hot_from, dtype)
+                size = np.array([len(w) for _, w in kept], dtype=np.int64)
+                ranks = np.array([rank[x] for _, w in kept for x in w], dtype=np.int64)
+                ranks = np.sort(np.repeat(np.arange(len(kept)), size) << 32 | ranks) & 0xFFFFFFFF
+                yield _laid_out([i for i, _ in kept], [_digest(w) for _, w in kept], ranks, size, dtype)
 
-        laid = rows.mapInArrow(lay, _SPOTS)
+        laid = rows.mapInArrow(lay, _LAID)
     else:
         # ids that ascend in the sorted order, whatever the number of words
         ordered = durable(vocabulary.orderBy("n", "word").withColumn("rank", F.monotonically_increasing_id()))
-        hot_from, dtype = ordered.where(F.col("n") > cell_rows).agg(F.min("rank")).first()[0], "<u8"
-        hot_from = 1 << 62 if hot_from is None else hot_from
+        lone, dtype = ordered.where("n > 1").agg(F.min("rank")).first()[0], "<u8"
+        lone = 1 << 62 if lone is None else lone
+        hot = {r["rank"]: r["n"] for r in ordered.where(F.col("n") > cell_rows).collect()}
+        hot_from = min(hot, default=1 << 62)
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -304,17 +454,18 @@ def similar_sets(
 
         def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                pairs = [[(x["rank"], x["n"]) for x in w] for w in b.column("w").to_pylist()]
-                ranks, counts = [np.array([x for x, _ in p], dtype=np.int64) for p in pairs], [np.array([n for _, n in p], dtype=np.int64) for p in pairs]
-                yield _laid_out(b.column("id").to_pylist(), b.column("digest").to_pylist(), ranks, counts, threshold, cells, cell_rows, hot_from, dtype)
+                ranks = b.column("w").to_pylist()
+                yield _laid_out(b.column("id").to_pylist(), b.column("digest").to_pylist(), np.array([x for w in ranks for x in w], dtype=np.int64), np.array([len(w) for w in ranks], dtype=np.int64), dtype)
 
         words = rows.mapInArrow(cut, "id bigint, digest binary, words array<string>").select("id", "digest", F.explode("words").alias("word"))
-        ranked = words.join(ordered, "word").groupBy("id", "digest").agg(F.array_sort(F.collect_set(F.struct("rank", "n"))).alias("w"))
-        laid = ranked.mapInArrow(lay, _SPOTS)
-    # copies of a set that came with the same id are one row
-    placed = laid.join(classes, ["id", "digest"], "left_semi").groupBy("id").agg(F.first("ws").alias("ws"), F.first("spots").alias("spots"))
-    spread = placed.select("id", "ws", F.explode("spots").alias("s")).select("id", "ws", "s.hot", "s.i", "s.j", "s.block")
-    pairs = spread.groupBy("hot", "i", "j").applyInArrow(lambda t: _search(t, threshold, cells, hot_from, dtype), "a bigint, b bigint, common int")
+        ranked = words.join(ordered, "word").groupBy("id", "digest").agg(F.array_sort(F.collect_set("rank")).alias("w"))
+        laid = ranked.mapInArrow(lay, _LAID)
+    # of an id with several sets the one that `members` keeps; copies of a set are laid out once
+    single = laid.groupBy("id").agg(F.min(F.struct("digest", "ws")).alias("s")).select("id", "s.ws").join(classes, "id", "left_semi")
+    placed = single.mapInArrow(lambda batches: (_placed(b, threshold, cells, cell_rows, hot, hot_from, lone, dtype) for b in batches if b.num_rows), _PLACED)
+    found = placed.groupBy("hot", "i", "j").applyInArrow(lambda table: _search(table, threshold, cells, hot_from), "a bigint, b bigint, common int")
+    # a pair can come out of the cells of later common words, too, which hold less of it
+    pairs = found.groupBy("a", "b").agg(F.max("common").alias("common"))
     return pairs, members.select("id", "rep", "copies")
 
 

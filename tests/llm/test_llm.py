@@ -5,6 +5,7 @@ import itertools
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,6 +221,39 @@ def test_sets_of_any_size_are_compared(spark):
     assert got == {(i, j, len(a & b)) for a, i in kept.items() for b, j in kept.items() if i < j and 5 * len(a & b) >= 3 * len(a | b)}
 
 
+def test_lists_of_common_words_are_not_compared_pair_by_pair(monkeypatch):
+    # 40 of 400 words each, so that every word stands in a tenth of the records; every fiftieth is a near copy
+    rng, compared, entries = np.random.default_rng(5), [], []
+    sets = [np.sort(rng.choice(400, 40, replace=False)) for _ in range(3000)]
+    for i in range(50, 3000, 50):
+        sets[i] = np.unique(np.append(rng.choice(sets[i - 1], 35, replace=False), rng.choice(400, 5)))
+    some, level = near_records._Cell.some, near_records._Cell.level
+
+    def counted(self, rec, at, node, k, cross, settled=False):
+        n = np.unique(node, return_counts=True)[1]
+        compared.append(int((n * (n - 1) // 2).sum()))
+        return some(self, rec, at, node, k, cross, settled)
+
+    monkeypatch.setattr(near_records._Cell, "some", counted)
+    monkeypatch.setattr(near_records._Cell, "level", lambda self, key, k, cross: entries.append(len(key)) or level(self, key, k, cross))
+    size = np.array([len(x) for x in sets])
+    cell = near_records._Cell(np.arange(3000), np.zeros(3000, dtype=np.int64), np.concatenate(sets), size, size, near_records.THRESHOLD)
+    got = {(a, b) for batch in cell.pairs(lambda w: w >= 0, False) for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist())}
+    has = np.zeros((3000, 400), dtype=np.int32)
+    has[np.repeat(np.arange(3000), size), np.concatenate(sets)] = 1
+    common = has @ has.T
+    want = np.argwhere(np.triu(5 * common >= 3 * (size[:, None] + size - common), 1))
+    assert got == set(map(tuple, want.tolist())) and len(got) >= 59
+    # a merge of the lists of all first words counts an occurrence for each pair of each of them
+    first = np.bincount(np.concatenate([x[:17] for x in sets]))
+    assert sum(compared) + sum(entries) < int((first * (first - 1) // 2).sum()) / 2
+
+
+def test_packed_columns_come_back():
+    columns = [np.array([-5, 0, 254, 255, 1 << 40]), np.array([], dtype=np.int64), np.arange(600)]
+    assert [x.tolist() for x in near_records._unpacked(*near_records._packed(columns), 3)] == [x.tolist() for x in columns]
+
+
 def test_near_pairs(spark):
     rows = [movement(1, notes="vod je prešao most"), movement(2, notes="Vod je prešao MOST!"), movement(3, notes="vod je presao most prije"), movement(4, notes=None), movement(5, notes=" "), movement(6, notes="nešto drugo " * 9, place="x", op="y"), movement(6, notes="nešto drugo " * 9, place="x", op="y")]
     df = spark.createDataFrame(rows, MOVEMENT)
