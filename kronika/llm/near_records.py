@@ -37,9 +37,11 @@ THRESHOLD = Fraction(3, 5)
 #: Records a cell holds at most of one word, and from which a list is laid out in blocks.
 CELL_ROWS = 400_000
 #: Entries of nodes that are looked at together, pairs that are compared at once, and pairs that are probed at once.
-BATCH, PAIRS, PROBES = 1 << 17, 1 << 19, 1 << 16
+BATCH, PAIRS, PROBES = 1 << 17, 1 << 16, 1 << 16
 #: A node is told apart by a further word when it has more pairs than so many times the entries this makes.
-LEAF = 4
+LEAF = 8
+#: Nodes made by a further word have together more than so many times the pairs when their records are alike.
+ALIKE = 2
 #: Words whose ranks travel with the tasks; a larger vocabulary is joined.
 MAX_VOCABULARY = 1 << 20
 #: Groups of exact copies up to this size are written out as pairs.
@@ -118,16 +120,16 @@ class _Cell:
         self.need = _needed(np.arange(2 * largest + 1), t)
         self.bits = int(largest).bit_length(), len(by).bit_length(), len(self.words).bit_length()
         # parities of 128 buckets each: a bucket that differs stands for a word that only one of two records has
-        self.marks = [np.zeros((len(by), 2), dtype=np.uint64) for _ in range(2)]
+        self.marks = [np.zeros(len(by), dtype=np.uint64) for _ in range(4)]
         for lo in range(0, len(by), BATCH >> 4):
             hi = min(len(by), lo + (BATCH >> 4))
             s, e = self.start[lo], self.start[hi - 1] + self.held[hi - 1]
             mark = self.number[s:e].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            for marks, shift in zip(self.marks, (57, 36)):
+            for n, shift in enumerate((57, 36)):
                 bucket = (mark >> np.uint64(shift)) & np.uint64(127)
                 one = np.uint64(1) << (bucket & np.uint64(63))
                 for half in (0, 1):
-                    marks[lo:hi, half] = np.bitwise_xor.reduceat(np.where(bucket >> np.uint64(6) == half, one, np.uint64(0)), self.start[lo:hi] - s)
+                    self.marks[2 * n + half][lo:hi] = np.bitwise_xor.reduceat(np.where(bucket >> np.uint64(6) == half, one, np.uint64(0)), self.start[lo:hi] - s)
 
     def reach(self, size: np.ndarray, missed: np.ndarray) -> np.ndarray:
         """The largest partner with which a record that shares all but `missed` words can still have enough in common."""
@@ -138,28 +140,28 @@ class _Cell:
         """Pairs of every node that can be near; with `settled` only those for which k words are enough."""
         edge = np.flatnonzero(_changes(node))
         before = np.arange(len(node)) - np.repeat(edge, np.diff(np.append(edge, len(node))))
-        size = self.size[rec]
+        size, held = self.size[rec], self.held[rec]
         far = self.reach(size, at + 1 - k)
+        marks = [m[rec] for m in self.marks]
         work = np.cumsum(before)
         lo = 0
         while lo < len(rec):
             hi = max(lo + 1, int(np.searchsorted(work, work[lo] + PAIRS, side="right")))
-            i = np.repeat(np.arange(lo, hi), before[lo:hi])
-            j = _ranges(np.arange(lo, hi) - before[lo:hi], before[lo:hi])[0]
-            m, n = size[i], size[j]
-            ok = (far[j] >= m) & (far[i] >= n)
+            j, i = _ranges(np.arange(lo, hi) - before[lo:hi], before[lo:hi])
+            i += lo
+            ok = np.flatnonzero((far[j] >= size[i]) & (far[i] >= size[j]))
+            i, j = i[ok], j[ok]
+            need = self.need[size[i] + size[j]]
             if settled:
-                ok &= self.need[m + n] <= k
-            x, y = rec[i[ok]], rec[j[ok]]
+                i, j, need = i[need <= k], j[need <= k], need[need <= k]
             if cross:
-                ok = self.block[x] != self.block[y]
-                x, y = x[ok], y[ok]
-            most = self.held[x] + self.held[y] - 2 * self.need[self.size[x] + self.size[y]]
-            for marks in self.marks:
-                differ = np.bitwise_count(marks[x] ^ marks[y])
-                ok = differ[:, 0].astype(np.int64) + differ[:, 1] <= most
-                x, y, most = x[ok], y[ok], most[ok]
-            yield x, y
+                ok = np.flatnonzero(self.block[rec[i]] != self.block[rec[j]])
+                i, j, need = i[ok], j[ok], need[ok]
+            most = held[i] + held[j] - 2 * need
+            for low, high in (marks[:2], marks[2:]):
+                ok = np.flatnonzero(np.bitwise_count(low[i] ^ low[j]) + np.bitwise_count(high[i] ^ high[j]) <= most)
+                i, j, most = i[ok], j[ok], most[ok]
+            yield rec[i], rec[j]
             lo = hi
 
     def level(self, key: np.ndarray, k: int, cross: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -201,7 +203,7 @@ class _Cell:
             yield from self.some(rec[enough], at[enough], node[enough], k, cross, settled=True)
         nodes = np.cumsum(_changes(node[e])) - 1
         many, first = int(further[e].sum()), edge[split]
-        parts = -(-many // (8 * PAIRS))
+        parts = -(-many // (32 * BATCH))
         done = np.zeros(len(first), dtype=bool)
         for part in range(parts):
             made = []
@@ -219,7 +221,7 @@ class _Cell:
             start = np.flatnonzero(_changes(child_node))
             count = np.diff(np.append(start, len(child)))
             left = np.bincount(child_node[start] >> wb, weights=count * (count - 1) / 2, minlength=len(first))
-            alike = ~done & (left * parts > pairs[split] / 2)
+            alike = ~done & (left * parts > ALIKE * pairs[split])
             if alike.any():
                 own = e[alike[nodes]]
                 yield from self.some(rec[own], at[own], node[own], k, cross)
